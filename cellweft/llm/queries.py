@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from cellweft.llm import mixing
+from cellweft.llm import mixing, toxicity
 
-QUERIES = {"op4_mix": mixing.op4_mix}
+QUERIES = {
+    "op4_mix": mixing.op4_mix,
+    "op6_toxicity": toxicity.op6_toxicity,
+}
 SQL = {"op4_mix": mixing.SQL_OP4}
