@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from cellweft.llm import mixing, toxicity
+from cellweft.llm import mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op2_pack": packing.op2_pack,
     "op4_mix": mixing.op4_mix,
+    "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
 }
 SQL = {"op4_mix": mixing.SQL_OP4}
