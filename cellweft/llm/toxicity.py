@@ -1,8 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Bounded sample: the model is fitted on at most `max_positive` + `max_negative`
-labelled rows (those with the smallest hash of doc_id), so that training time and
-the rows sent to the driver do not grow; scoring covers every text.
+labelled rows (those with the smallest hash of doc_id), so that training time does
+not grow; scoring covers every text.
 """
 
 from __future__ import annotations
@@ -74,16 +74,36 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.2, beta: f
     return weights(np.arange((1 << BITS) + 1)).astype(np.float32)
 
 
-def train(labelled: DataFrame, max_positive: int = 6000, max_negative: int = 12000) -> np.ndarray:
-    """Weights learned from rows (doc_id, text, toxic); no labelled row: all zero."""
-    order = hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = labelled.where("toxic in (0, 1)").select(order.alias("place"), F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    parts = [rows.where(F.col("toxic") == y).orderBy("place", "text").limit(most) for y, most in ((1, max_positive), (0, max_negative))]
-    schema = "place long, features binary, toxic int"
-    got = parts[0].unionByName(parts[1]).mapInArrow(_feature_rows, schema).toPandas().sort_values(["place", "toxic"])
-    if not len(got):
-        return np.zeros((1 << BITS) + 1, np.float32)
-    return ftrl([np.frombuffer(x, np.int32) for x in got.features], got.toxic.to_numpy())
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Weights that are not zero, from all rows of one (bounded) partition."""
+    rows, place, label = [], [], []
+    for batch in batches:
+        for b in _feature_rows([batch]):
+            rows += [np.frombuffer(x, np.int32) for x in b.column(1).to_pylist()]
+            place += b.column(0).to_pylist()
+            label += b.column(2).to_pylist()
+    order = sorted(range(len(rows)), key=lambda i: (place[i], label[i], len(rows[i])))
+    w = ftrl([rows[i] for i in order], np.array(label, np.float64)[order])
+    at = np.flatnonzero(w)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["feature", "weight"])
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_negative: int = 12000) -> np.ndarray:
+    """Weights learned from the texts of `docs` and labels (doc_id, toxic); no labelled row: all zero.
+
+    The sample is chosen among the labels alone; only its texts are read further,
+    and one task fits the model to them.
+    """
+    place = hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    own = own.withColumn("place", place)
+    parts = [own.where(F.col("toxic") == y).orderBy("place", "doc_id").limit(most) for y, most in ((1, max_positive), (0, max_negative))]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most max_positive + max_negative rows of three numbers
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("place", "text", "toxic")
+    got = rows.repartition(1).mapInArrow(_train_rows, "feature int, weight float").toPandas()
+    weights = np.zeros((1 << BITS) + 1, np.float32)
+    weights[got.feature.to_numpy()] = got.weight.to_numpy()
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -115,14 +135,13 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fifth (crc32 of doc_id as text, modulo 5, is 0)."""
-    keep = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "toxic").dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(keep, "doc_id")
+def training_labels(labels: DataFrame) -> DataFrame:
+    """Labels outside the held-out fifth (crc32 of doc_id as text, modulo 5, is 0)."""
+    return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).select("doc_id", "toxic")
 
 
 def op6_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    weights = train(training_rows(docs, table(spark, sf_dir, "labels")))
+    weights = train(docs, training_labels(table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
