@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from cellweft.llm import embed_dedup, hamming_topk, jaccard_join, mixing, packing, pii, toxicity
+from cellweft.llm import embed_dedup, hamming_topk, jaccard_join, mixing, packing, pii, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op2_pack": packing.op2_pack,
     "op3_embed_dedup": embed_dedup.op3_embed_dedup,
     "op4_mix": mixing.op4_mix,
     "op5_pii": pii.op5_pii,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_hamming_topk": hamming_topk.op7_hamming_topk,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op10_jaccard": jaccard_join.op10_jaccard,
 }
 SQL = {"op4_mix": mixing.SQL_OP4, "op7_hamming_topk": hamming_topk.SQL_OP7}
