@@ -16,33 +16,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.llm.common import materialize
+
 #: From two matrices of decoded payloads to the matrix of their similarities.
 Similarity = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def leader_edges(rows: DataFrame, decode: Callable[[list[bytes]], np.ndarray], similarity: Similarity, join_at: float, link_at: float) -> DataFrame:
-    """Edges (bucket, a, b) from rows (bucket, node, payload).
+def leader_edges(rows: DataFrame, decode: Callable[[list[bytes]], np.ndarray], similarity: Similarity, rowwise: Similarity, join_at: float, link_at: float) -> DataFrame:
+    """Edges (bucket, a, b) from rows (bucket, node, payload, split).
 
     Members of a bucket come one after another; one that is at least `join_at`
     similar to a leader joins it, else it becomes a leader. A member is tied to
     every leader at least `link_at` similar. If dissimilarity is a metric and
     (1 - link_at) >= (1 - join_at) + (1 - the join's threshold) in its terms, two
-    members over the threshold share a leader. A leader gives one row with a = b.
-    Only the leaders of the bucket at hand are held in memory.
+    members over the threshold share a leader. Of these ties only those are given
+    that join something new, fewer than members and leaders together. A leader of a
+    split bucket gives one row with a = b. Only the leaders of the bucket at hand
+    are held in memory. `rowwise` compares two matrices row by row.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bucket, leaders, ids = None, None, None
+        bucket, leaders, ids, same = None, None, None, {}
         for pdf in batches:
             if not len(pdf):
                 continue
-            key, node, data = pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), decode(pdf["payload"].tolist())
+            key, node, data, split = pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), decode(pdf["payload"].tolist()), pdf["split"].to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            out_a, out_b, out_k = [], [], []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            sizes = np.diff(cuts)
+            sizes[-1] = 3  # the last bucket may go on in the next batch
+            pair = cuts[:-1][(sizes == 2) & (key[cuts[:-1]] != bucket) & ~split[cuts[:-1]]]
+            pair_near = pair[rowwise(data[pair + 1], data[pair]) >= link_at]
+            out = [(key[pair_near], node[pair_near + 1], node[pair_near])]
+            done = np.zeros(len(key), bool)
+            done[pair] = True
+            for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if done[s]:
+                    continue
                 if key[s] != bucket:
-                    bucket, leaders, ids = key[s], data[s : s + 1], node[s : s + 1]
-                    out_a.append(ids), out_b.append(ids), out_k.append(key[s : s + 1])
+                    bucket, leaders, ids, same = key[s], data[s : s + 1], node[s : s + 1], {}
+                    if split[s]:
+                        out.append((key[s : s + 1], ids, ids))
                     s += 1
                 for at in range(s, e, 512):
                     x, who = data[at : min(at + 512, e)], node[at : min(at + 512, e)]
@@ -56,16 +69,48 @@ def leader_edges(rows: DataFrame, decode: Callable[[list[bytes]], np.ndarray], s
                         fresh = loose[new]
                         sim = np.concatenate([sim, similarity(x, x[fresh])], axis=1)
                         leaders, ids = np.concatenate([leaders, x[fresh]]), np.concatenate([ids, who[fresh]])
-                        out_a.append(who[fresh]), out_b.append(who[fresh]), out_k.append(np.full(len(fresh), bucket))
-                    i, j = np.nonzero(sim >= link_at)
-                    i, j = i[who[i] != ids[j]], j[who[i] != ids[j]]
-                    out_a.append(who[i]), out_b.append(ids[j]), out_k.append(np.full(len(i), bucket))
-            yield pd.DataFrame({"bucket": np.concatenate(out_k), "a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                        if split[at]:
+                            out.append((np.full(len(fresh), bucket), who[fresh], who[fresh]))
+                    a, b = _ties(who, ids, sim >= link_at, same)
+                    out.append((np.full(len(a), bucket), np.array(a, np.int64), np.array(b, np.int64)))
+            yield pd.DataFrame({c: np.concatenate([x[i] for x in out]) for i, c in enumerate(("bucket", "a", "b"))})
+
+    return rows.select("bucket", "node", "payload", "split").repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(run, "bucket long, a long, b long")
 
-    return rows.select("bucket", "node", "payload").repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(run, "bucket long, a long, b long")
 
+def _ties(who: np.ndarray, ids: np.ndarray, near: np.ndarray, same: dict[int, int]) -> tuple[list[int], list[int]]:
+    """Edges from members to leaders: the first leader near a member, and others not yet joined to it.
+
+    `same` leads from a leader to another that it was joined to before, if any.
+    """
 
-def salted_leader_edges(rows: DataFrame, decode, similarity: Similarity, join_at: float, link_at: float, meet_at: float, salt_rows: int = 20_000) -> DataFrame:
+    def root(j: int) -> int:
+        while j in same:
+            if same[j] in same:
+                same[j] = same[same[j]]
+            j = same[j]
+        return j
+
+    a, b = [], []
+    first = near.argmax(axis=1)
+    several = near.sum(axis=1) > 1
+    plain = near.any(axis=1)
+    tie = plain & (who != ids[first])
+    a += who[tie].tolist()
+    b += ids[first[tie]].tolist()
+    for i in np.flatnonzero(several):
+        r = root(int(first[i]))
+        for j in np.flatnonzero(near[i])[1:].tolist():
+            other = root(j)
+            if other != r:
+                lo, hi = min(r, other), max(r, other)
+                same[hi] = r = lo
+                if who[i] != ids[j]:
+                    a.append(int(who[i])), b.append(int(ids[j]))
+    return a, b
+
+
+def salted_leader_edges(rows: DataFrame, decode, similarity: Similarity, rowwise: Similarity, join_at: float, link_at: float, meet_at: float, salt_rows: int = 20_000) -> DataFrame:
     """Edges (a, b); buckets of over `salt_rows` rows are dealt to several groups.
 
     `rows` also has the bucket's size. The leaders of the groups of one bucket meet
@@ -73,10 +118,11 @@ def salted_leader_edges(rows: DataFrame, decode, similarity: Similarity, join_at
     """
     salt = F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("size") / salt_rows), F.lit(1)))
     salted = rows.withColumns({"first": F.col("bucket"), "split": F.col("size") > salt_rows, "bucket": F.when(F.col("size") > salt_rows, F.xxhash64("bucket", salt)).otherwise(F.col("bucket"))})
-    one = leader_edges(salted, decode, similarity, join_at, link_at)
+    one = leader_edges(salted, decode, similarity, rowwise, join_at, link_at)
+    one = materialize(one, "leaders")
     heads = one.where("a = b").select("bucket", F.col("a").alias("node"))
-    again = salted.where("split").join(heads, ["bucket", "node"]).select(F.col("first").alias("bucket"), "node", "payload")
-    two = leader_edges(again, decode, similarity, 2.0, meet_at)
+    again = salted.where("split").join(heads, ["bucket", "node"]).select(F.col("first").alias("bucket"), "node", "payload", F.lit(False).alias("split"))
+    two = leader_edges(again, decode, similarity, rowwise, 2.0, meet_at)
     return one.select("a", "b").unionByName(two.select("a", "b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

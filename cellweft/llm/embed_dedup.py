@@ -104,7 +104,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, recall: float =
     ready = keys.join(sizes, "bucket").join(classes.select("node", "payload"), "node")
     reach = math.sqrt(2 - 2 * threshold)
     cosine = lambda d: 1 - d * d / 2 - 1e-9
-    edges = salted_leader_edges(ready, lambda p: _unit(p, dim), lambda x, y: x @ y.T, cosine(around), cosine(around + reach), cosine(2 * around + reach))
+    edges = salted_leader_edges(ready, lambda p: _unit(p, dim), lambda x, y: x @ y.T, lambda x, y: (x * y).sum(axis=1), cosine(around), cosine(around + reach), cosine(2 * around + reach))
     candidates = connected_components(edges)
     members = candidates.join(classes, "node")
     pairs = lambda x, y: _unit(x, dim) @ _unit(x if y is None else y, dim).T

@@ -63,14 +63,14 @@ def _digest(g: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _signatures(g: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """T values of 16 bits per set (zeros for the empty set)."""
-    out = np.zeros((len(at) - 1, T), np.uint16)
+    """T values of 32 bits per set (zeros for the empty set)."""
+    out = np.zeros((len(at) - 1, T), np.uint32)
     full = np.flatnonzero(at[1:] > at[:-1])
     if len(full):
         low = at[:-1][full]
         for i in range(T):
             least = np.minimum.reduceat(g * _MULT[i], low)
-            out[full, i] = (tv.mix64(least) >> np.uint64(48)).astype(np.uint16)
+            out[full, i] = (tv.mix64(least) >> np.uint64(32)).astype(np.uint32)
     return out
 
 
@@ -90,20 +90,26 @@ def sketch(docs: DataFrame, n: int = 5) -> DataFrame:
 
 
 def _decode(payloads: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(payloads), np.uint16).reshape(len(payloads), T)
+    return np.frombuffer(b"".join(payloads), np.uint32).reshape(len(payloads), T)
 
 
 def _agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Share of equal coordinates, one coordinate at a time to bound memory."""
+    """Share of equal coordinates of all pairs; many pairs one coordinate at a time, to bound memory."""
+    if len(x) * len(y) <= 1 << 14:
+        return (x[:, None, :] == y[None, :, :]).mean(axis=2, dtype=np.float32)
     out = np.zeros((len(x), len(y)), np.uint8)
     for i in range(T):
         out += x[:, i, None] == y[None, :, i]
     return out / np.float32(T)
 
 
+def _rowwise(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == y).mean(axis=1, dtype=np.float32)
+
+
 def _value(i: Column) -> Column:
     """Coordinate i of the signature as hexadecimal digits."""
-    return F.substring("hex", i * 4 + 1, F.lit(4))
+    return F.substring("hex", i * 8 + 1, F.lit(8))
 
 
 def _chosen(bucket: Column, threshold: float) -> Column:
@@ -205,11 +211,11 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     # allows five standard deviations of the estimate.
     slack = 5 * math.sqrt(threshold * (1 - threshold) / T) / 2
     ready = paths(classes.select("node", "payload"), threshold, recall)
-    edges = salted_leader_edges(ready, _decode, _agreement, threshold, 1 - 2 * (1 - threshold) - slack, 1 - 3 * (1 - threshold) - slack)
+    edges = salted_leader_edges(ready, _decode, _agreement, _rowwise, threshold, 1 - 2 * (1 - threshold) - slack, 1 - 3 * (1 - threshold) - slack)
     candidates = connected_components(edges)
     # 2. exact links inside each candidate component
     members = materialize(candidates.join(classes.select("node", "class_id", "weight"), "node"), "jaccard-members")
-    found = _sets_of(own.withColumnRenamed("doc_id", "class_id").join(members, "class_id"), n)
+    found = _sets_of(own.withColumnRenamed("doc_id", "class_id").join(members.hint("merge"), "class_id"), n)
     found = found.where("set = node").dropDuplicates(["node"])
     links = materialize(count_links(blocked(found, block), exact_jaccard, threshold), "jaccard-links")
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("other"))
