@@ -1,6 +1,8 @@
-"""Registered queries over the stand-in views, and their SQL."""
+"""All registered queries over the stand-in views, and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from cellweft.plans import cells_queries
+
+QUERIES: dict = {**cells_queries.Q}
+SQL: dict = {**cells_queries.SQL}
