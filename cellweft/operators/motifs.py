@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,29 +36,42 @@ def interval_sequence(iv: DataFrame, chunks: DataFrame, width: int) -> DataFrame
 def motif_scan(seqs: DataFrame, pwm: DataFrame, cut: float) -> DataFrame:
     """Hits id, motif, start (on the plus strand), strand, score of windows that score `cut` or more; windows with other letters than ACGT never do.
 
-    Weights are a small table with a row per motif, position and base; they become
-    expressions, so that a sequence is scanned in one pass and only hits leave it.
+    Weights are a small table with a row per motif, position and base. Arrow batches
+    of sequences are scored as one array of letters, a shifted addition per position;
+    only hits leave the task.
     """
-    weights: dict[str, dict[int, dict[str, float]]] = {}
+    tables: dict[str, dict[tuple[int, str], float]] = {}
     for m, p, b, w in pwm.select("motif", "pos", "base", "w").collect():  # bounded: motifs by their length by four
-        weights.setdefault(m, {}).setdefault(p, {})[b] = float(w)
-    parts = []
-    for m, cols in sorted(weights.items()):
-        n = len(cols)
-        for strand in "+-":
-            order = range(n) if strand == "+" else range(n - 1, -1, -1)
-            comp = (lambda b: b) if strand == "+" else (lambda b: dict(zip("ACGT", "TGCA", strict=True))[b])
-            tables = [F.create_map(*[F.lit(x) for b in "ACGT" for x in (comp(b), cols[p][b])]) for p in order]
-            parts.append(_scan(F.col("seq"), tables, m, strand, n, cut))
-    hits = seqs.select("id", F.explode(F.flatten(F.array(*parts))).alias("h"))
-    return hits.select("id", "h.*")
-
-
-def _scan(seq: Column, tables: list[Column], motif: str, strand: str, n: int, cut: float) -> Column:
-    score = lambda i: sum((F.try_element_at(t, F.substring(seq, i + 1 + k, F.lit(1))) for k, t in enumerate(tables[1:], 1)), F.try_element_at(tables[0], F.substring(seq, i + 1, F.lit(1))))
-    starts = F.when(F.char_length(seq) >= n, F.sequence(F.lit(0), F.char_length(seq) - n)).otherwise(F.expr("cast(array() as array<int>)"))
-    rows = F.transform(starts, lambda i: F.struct(F.lit(motif).alias("motif"), i.alias("start"), F.lit(strand).alias("strand"), score(i).alias("score")))
-    return F.filter(rows, lambda h: h["score"] >= cut)
+        tables.setdefault(m, {})[(p, b)] = float(w)
+    kind = dict(seqs.dtypes)["id"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = np.full(256, 4, np.int8)
+        letters[[ord(c) for c in "ACGT"]] = range(4)
+        plus = {m: np.array([[t.get((p, b), np.nan) for b in "ACGT"] + [np.nan] for p in range(max(p for p, _ in t) + 1)]) for m, t in tables.items()}
+        for pdf in batches:
+            data = [x.encode() if x else b"" for x in pdf["seq"]]
+            code = letters[np.frombuffer(b"".join(data), np.uint8)]
+            ends = np.cumsum([len(x) for x in data])
+            starts = ends - [len(x) for x in data]
+            out = []
+            for m, w in plus.items():
+                n = len(w)
+                if len(code) < n:
+                    continue
+                for strand, own in (("+", w), ("-", w[::-1][:, [3, 2, 1, 0, 4]])):
+                    score = own[0][code[: len(code) - n + 1]].copy()
+                    for k in range(1, n):
+                        score += own[k][code[k : len(code) - n + 1 + k]]
+                    hit = np.flatnonzero(score >= cut)
+                    doc = np.searchsorted(ends, hit, side="right")
+                    inside = hit + n <= ends[doc]
+                    hit, doc = hit[inside], doc[inside]
+                    out.append(pd.DataFrame({"id": pdf["id"].to_numpy()[doc], "motif": m, "start": (hit - starts[doc]).astype(np.int32), "strand": strand, "score": score[hit]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return seqs.select("id", "seq").mapInPandas(run, f"id {kind}, motif string, start int, strand string, score double")
 
 
 def gc_content(seqs: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,21 +15,37 @@ def _distance2(a: str, b: str) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(emb: DataFrame, k: int, queries: DataFrame | None = None, blocks: int = 8) -> DataFrame:
+def knn(emb: DataFrame, k: int, queries: DataFrame | None = None, block: int = 2000) -> DataFrame:
     """The k nearest cells of each cell by Euclidean distance: a, b, distance, rank; ties by cell.
 
-    Exact: every query meets every row. Queries are dealt to blocks and each block
-    meets the whole table by an equi-join on the block, so no side is broadcast and
-    no task holds more than its block's share; each block keeps its k best first.
+    Exact: every query meets every row, in blocks of about `block` queries by `block`
+    rows. A task holds one pair of blocks and gives the k best of each query; the best
+    over all blocks follow by a window. Vectors must be of one length.
     """
-    own = emb.select(F.col("cell").alias("b"), F.col("vec").cast("array<double>").alias("vb"))
-    ask = (emb if queries is None else queries).select(F.col("cell").alias("a"), F.col("vec").cast("array<double>").alias("va"))
-    ask = ask.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    own = own.withColumn("_block", F.pmod(F.xxhash64("b"), F.lit(blocks)).cast("int"))
-    pairs = ask.join(own, "_block").where("a <> b").select("a", "b", "_block", F.sqrt(_distance2("va", "vb")).alias("distance"))
-    near = Window.partitionBy("a", "_block").orderBy("distance", "b")
-    best = pairs.withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k).select("a", "b", "distance", "rank")
+    own = emb.select(F.col("cell").cast("long").alias("cell"), F.col("vec").cast("array<double>").alias("vec"))
+    ask = own if queries is None else queries.select(F.col("cell").cast("long").alias("cell"), F.col("vec").cast("array<double>").alias("vec"))
+    n = lambda df: max(1, -(-df.count() // block))
+    nq, nr = n(ask), n(own)
+    part = lambda m: F.pmod(F.xxhash64("cell"), F.lit(m)).cast("int")
+    ask = ask.withColumns({"_q": part(nq), "_r": F.explode(F.sequence(F.lit(0), F.lit(nr - 1)))})
+    own = own.withColumns({"_r": part(nr), "_q": F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))})
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": [], "distance": []})
+        x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
+        a, b = left["cell"].to_numpy(), right["cell"].to_numpy()
+        near = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T
+        near[a[:, None] == b[None, :]] = np.inf
+        m = min(k, len(b)) - 1
+        limit = np.partition(near, m, axis=1)[:, m]
+        i, j = np.nonzero(near <= (limit + 1e-9 * (1 + np.abs(limit)))[:, None])
+        keep = np.isfinite(near[i, j])
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"a": a[i], "b": b[j], "distance": np.sqrt(((x[i] - y[j]) ** 2).sum(axis=1))})
+
+    pairs = ask.groupBy("_q", "_r").cogroup(own.groupBy("_q", "_r")).applyInPandas(best, "a long, b long, distance double")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("distance", "b"))).where(F.col("rank") <= k)
 
 
 def mnn_pairs(edges: DataFrame, cells: DataFrame) -> DataFrame:
@@ -168,9 +186,6 @@ def grn_edges(hits: DataFrame, links: DataFrame, coexp: DataFrame, cut: float) -
 
 def grn_ridge(design: DataFrame, penalty: float) -> DataFrame:
     """Ridge weights per target from rows (target, obs, regulator, x, y); a target's regulators must be few enough for a dense solve."""
-    import numpy as np
-    import pandas as pd
-
     def solve(key, pdf):
         x = pdf.pivot_table(index="obs", columns="regulator", values="x", fill_value=0.0)
         y = pdf.groupby("obs")["y"].first().reindex(x.index)
