@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 from cellweft.llm.common import table
 
 #: Entries kept of the cache of encoded words in one Python worker; a full cache is emptied.
-CACHE = 1_200_000
+CACHE = 500_000
 
 
 class WordEncoder:
@@ -36,7 +36,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.first, self.later = _Known(self, ""), _Known(self, " ")
-        self.line_feed = self.ids("\n")
+        self.line_feed, self.marks = self.ids("\n"), {x: self.ids(x) for x in ".,"}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -69,7 +69,10 @@ class _Known(dict):
         self.owner, self.before = owner, before
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.owner.ids(self.before + word)
+        if word[-1:] in (".", ",") and word[:-1].isalpha():  # letters and a mark after them are apart
+            ids = self[word[:-1]] + self.owner.marks[word[-1]]
+        else:
+            ids = self.owner.ids(self.before + word)
         if len(word) < 64:
             self[word] = ids
         return ids
