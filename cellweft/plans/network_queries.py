@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cellweft.operators import cells as C
 from cellweft.operators import network as N
+from cellweft.operators import reduce as R
 from cellweft.operators.tables import materialize
 from cellweft.plans.views import duck, r, view
 
@@ -32,6 +33,21 @@ def _knn(spark, d):
     return materialize(N.knn(view(spark, d, "m_emb"), K), "knn")
 
 
+def _selected(spark, d):
+    x = C.lognorm(view(spark, d, "m_counts")).select("cell", "feature", "x")
+    return x, C.hvg(x, 30).select("feature")
+
+
+@_add("i2_pca")
+def i2(spark, d):
+    return R.pca(*_selected(spark, d), 5)
+
+
+@_add("i3_lsi")
+def i3(spark, d):
+    return R.lsi(*_selected(spark, d), 5)[0]
+
+
 @_add("i4_knn", duck(f"with {_KNN} select a, b, round(distance, 6) distance, rank::int rank from knn", "m_emb"))
 def i4(spark, d):
     return N.knn(view(spark, d, "m_emb"), K).withColumn("distance", r("distance"))

@@ -8,7 +8,7 @@ import math
 import numpy as np
 import pytest
 
-from cellweft.operators import alignment, cells, intervals, motifs, network, timing
+from cellweft.operators import alignment, cells, intervals, motifs, network, reduce, timing
 from cellweft.plans.registry import QUERIES, SQL
 from tests.oracle import assert_same
 
@@ -127,3 +127,20 @@ def test_mad_and_ties(spark):
     assert cells.filter_mad(df, "v", 3, "sample").count() == 4
     p = spark.createDataFrame([("g", i, x) for i, x in enumerate((0.01, 0.01, 0.5))], "grp string, id long, p double")
     assert [round(r.q, 6) for r in network.bh_adjust(p, "grp").orderBy("id").collect()] == [0.015, 0.015, 0.5]
+
+
+def test_reduced_spaces(spark):
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((40, 6)) < 0.5, rng.random((40, 6)), 0.0)
+    rows = [(i, f"f{j}", float(m[i, j])) for i in range(40) for j in range(6) if m[i, j] > 0]
+    x = spark.createDataFrame(rows, "cell long, feature string, x double")
+    f = x.select("feature").distinct()
+    keep = sorted({r[0] for r in rows})
+    u, s, vt = np.linalg.svd(m[keep], full_matrices=False)
+    scores, values = reduce.lsi(x, f, 3)
+    assert values == pytest.approx(s[:3].tolist())
+    got = np.array([r.vec for r in scores.orderBy("cell").collect()])
+    assert np.abs(got) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-8)
+    pc = np.array([r.vec for r in reduce.pca(x, f, 2).orderBy("cell").collect()])
+    want = np.linalg.svd(m[keep] - m[keep].mean(axis=0), full_matrices=False)[2][:2]
+    assert np.abs(pc) == pytest.approx(np.abs(m[keep] @ want.T), abs=1e-8)
