@@ -37,7 +37,7 @@ def text_column(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [b"" if x is None else x for x in col.to_pylist()]
 
 
-def groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` bytes together (a longer one stands alone)."""
     start, size = 0, 0
     for i, t in enumerate(texts):
