@@ -32,6 +32,8 @@ from cellweft.llm.common import materialize, table
 
 NO_ID = 2**63 - 1  # stands for a null doc_id inside: later than all others
 _PLACE_BITS = 24
+#: Windows sampled at a time, to bound memory; a run that goes on is two runs then, which the second round bears.
+_STEP = 1 << 19
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -71,8 +73,8 @@ class _Runs:
         self.length = length
         self.prefix = tv.prefix_hash(self.buf)
         first = []
-        for a in range(0, max(len(self.buf) - length + 1, 0), 1 << (_PLACE_BITS - 1)):
-            first.append(self._sampled(a, min(a + (1 << (_PLACE_BITS - 1)), len(self.buf) - length + 1), lead))
+        for a in range(0, max(len(self.buf) - length + 1, 0), _STEP):
+            first.append(self._sampled(a, min(a + _STEP, len(self.buf) - length + 1), lead))
         self.lo, self.hi, place = (np.concatenate([x[i] for x in first]) if first else np.zeros(0, np.int64) for i in range(3))
         self.doc = np.searchsorted(self.offsets, self.lo, side="right") - 1
         self.key = tv.mix64(self.hash(place, place + lead) ^ np.uint64(0x27D4EB2F165667C5))
@@ -139,41 +141,56 @@ def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted(key, (np.arange(ranges + 1, dtype=np.float64) / ranges * 2.0**64).clip(0, 2.0**64 - 2048).astype(np.uint64)[1:-1]) if ranges > 1 else np.zeros(0, np.int64)
 
 
-def _dealt(chunk: int, ranges: int, key: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+def _dealt(chunk: int, ranges: int, key: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
     cuts = [0, *_range_of(key, ranges).tolist(), len(key)]
-    parts = [_pack(_gaps(key[s:e]), *[c[s:e] for c in columns]) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(ranges, dtype=np.int32)), pa.array([chunk] * ranges, pa.int64()), pa.array(parts, pa.binary())], ["range", "chunk", "payload"])
+    full = [i for i in range(len(cuts) - 1) if cuts[i] < cuts[i + 1]]
+    of = lambda x, i: x[cuts[i] : cuts[i + 1]]
+    parts = [_pack(_gaps(of(key, i)), _planes(of(ids, i)), *[of(c, i) for c in columns]) for i in full]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array(parts, pa.binary())], ["range", "chunk", "payload"])
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """64-bit values byte by byte: all first bytes, all second bytes and so on, which packs well if the high ones are alike."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).ravel() if len(x) else np.zeros(0, np.uint8)
+
+
+def _from_planes(planes: np.ndarray, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel() if len(planes) else np.zeros(0, kind)
 
 
 def _gaps(key: np.ndarray) -> np.ndarray:
-    """Differences of sorted keys byte by byte, so that the leading zero bytes pack well."""
-    gaps = np.diff(key, prepend=np.uint64(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T) if len(key) else np.zeros(0, np.uint8)
+    """Differences of sorted keys, packed by bytes."""
+    return _planes(np.diff(key, prepend=np.uint64(0)))
 
 
 def _keys(planes: np.ndarray) -> np.ndarray:
-    if not len(planes):
-        return np.zeros(0, np.uint64)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_from_planes(planes, "u8"), dtype=np.uint64)
+
+
+def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    """Rows of a batch one at a time: chunks are large, so no more than one is held unpacked."""
+    columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
 
 
 def _emit_runs(length: int, lead: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, docs, data in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
+            for chunk, docs, data in _rows(batch, "chunk", "docs", "data"):
                 r = _Runs(docs, data, length, lead)
                 key, run_, low, several, _ = r.firsts()
-                yield _dealt(chunk, ranges, key, (run_ & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((run_ >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), low, several)
+                yield _dealt(chunk, ranges, key, low, (run_ & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((run_ >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), several)
 
     return run
 
 
 def _answer_runs(key: tuple, group: pa.Table) -> pa.Table:
     """Per chunk and leading string: 0 nothing, 1 the earliest document is known, 2 look at the windows."""
-    parts = [_unpack(x, "u1", "u4", "u2", "i8", "?") for x in group.column("payload").to_pylist()]
+    parts = [_unpack(x, "u1", "u1", "u4", "u2", "?") for x in group.column("payload").to_pylist()]
     keys = [_keys(p[0]) for p in parts]
-    run = [p[1].astype(np.uint64) | (p[2].astype(np.uint64) << np.uint64(32)) for p in parts]
-    _, r, low, several, at = _firsts(np.concatenate(keys), np.concatenate(run), np.concatenate([p[3] for p in parts]), np.concatenate([p[4] for p in parts]))
+    run = [p[2].astype(np.uint64) | (p[3].astype(np.uint64) << np.uint64(32)) for p in parts]
+    _, r, low, several, at = _firsts(np.concatenate(keys), np.concatenate(run), np.concatenate([_from_planes(p[1], "i8") for p in parts]), np.concatenate([p[4] for p in parts]))
     state = np.where(several, np.where(r != 0, 1, 2), 0).astype(np.uint8)
     return _answers(key, group, [len(k) for k in keys], state[at], low[at], 1)
 
@@ -188,10 +205,10 @@ def _answers(key: tuple, group: pa.Table, sizes: list[int], state: np.ndarray, l
 
 
 def _answer_windows(key: tuple, group: pa.Table) -> pa.Table:
-    parts = [_unpack(x, "u1", "i8", "?") for x in group.column("payload").to_pylist()]
+    parts = [_unpack(x, "u1", "u1", "?") for x in group.column("payload").to_pylist()]
     keys = [_keys(p[0]) for p in parts]
     k = np.concatenate(keys)
-    _, _, low, several, at = _firsts(k, k, np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+    _, _, low, several, at = _firsts(k, k, np.concatenate([_from_planes(p[1], "i8") for p in parts]), np.concatenate([p[2] for p in parts]))
     return _answers(key, group, [len(x) for x in keys], several.astype(np.uint8)[at], low[at], 1)
 
 
@@ -217,7 +234,7 @@ def _open_windows(r: _Runs, rows: list[dict] | None):
 def _emit_windows(length: int, lead: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, docs, data, known in zip(*[batch.column(c).to_pylist() for c in ("chunk", "docs", "data", "runs")], strict=True):
+            for chunk, docs, data, known in _rows(batch, "chunk", "docs", "data", "runs"):
                 _, _, (_, h, ids) = _open_windows(_Runs(docs, data, length, lead), known)
                 key, _, low, several, _ = _firsts(h, h, ids)
                 yield _dealt(chunk, ranges, key, low, several)
@@ -230,7 +247,7 @@ def _emit_result(length: int, lead: int, keep_text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for docs, data, known, seen in zip(*[batch.column(c).to_pylist() for c in ("docs", "data", "runs", "windows")], strict=True):
+            for docs, data, known, seen in _rows(batch, "docs", "data", "runs", "windows"):
                 r = _Runs(docs, data, length, lead)
                 state, low, (start, h, ids) = _open_windows(r, known)
                 _, low2 = _read_answers(seen)
@@ -254,7 +271,7 @@ def _emit_result(length: int, lead: int, keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, lead: int = 16, chunk_bytes: int = 2 << 20, range_bytes: int = 24 << 20, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, lead: int = 16, chunk_bytes: int = 2 << 20, range_bytes: int = 16 << 20, keep_text: bool = False) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if asked for.
 
     Removed is each byte of a text that lies in a string of `length` bytes that also
@@ -274,11 +291,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, lead: int = 16, chunk_byte
     by_chunk = lambda df, name: df.groupBy("chunk").agg(F.collect_list(F.struct("range", "payload")).alias(name))  # noqa: E731  one row per range
     runs = chunks.mapInArrow(_emit_runs(length, lead, ranges), packed).groupBy("range").applyInArrow(_answer_runs, answer)
     runs = materialize(runs, "suffix-runs")
-    with_runs = chunks.join(by_chunk(runs, "runs"), "chunk")
+    with_runs = chunks.join(by_chunk(runs, "runs"), "chunk", "left")
     windows = with_runs.mapInArrow(_emit_windows(length, lead, ranges), packed).groupBy("range").applyInArrow(_answer_windows, answer)
     windows = materialize(windows, "suffix-windows")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    out = with_runs.join(by_chunk(windows, "windows"), "chunk").mapInArrow(_emit_result(length, lead, keep_text), schema)
+    out = with_runs.join(by_chunk(windows, "windows"), "chunk", "left").mapInArrow(_emit_result(length, lead, keep_text), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
