@@ -27,9 +27,14 @@ def sign_code(embedding: Column, bits: int = BITS) -> Column:
     return F.when(embedding.isNotNull(), out)
 
 
-def _segment(code: Column, i: int, m: int) -> Column:
-    width = BITS // m
-    return F.shiftrightunsigned(code, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+def segments(m: int) -> list[tuple[int, int]]:
+    """First bit and width of m segments that differ by one bit at most."""
+    cuts = [i * BITS // m for i in range(m + 1)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _segment(code: Column, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
 
 
 def masks(width: int, radius: int) -> list[int]:
@@ -46,42 +51,46 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, m: int = 4)
 
     Equal codes are one entry that keeps its k smallest ids, which is all that a
     query can use of them; a code that a third of the rows share is one row in
-    every index table. A segment has w = 64 / m bits and a round of radius s probes C(w, s)
-    values of each; m = 4 keeps the entries of a value few up to some 10**6 codes per
-    65536 values, and m = 2 or 3 suits far larger tables.
+    every index table. A segment has w = 64 / m bits and a round of radius s probes
+    C(w, s) values of each. Best is an m near 64 over the logarithm of the number of
+    codes to base 2, where a value has about one entry: 4 for some 10**5 codes, 3 for
+    10**6 to 10**7.
     """
-    width = BITS // m
     by_code = Window.partitionBy("code").orderBy("vec_id")
     top = codes.where("code is not null and vec_id is not null").select("code", "vec_id").withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= k)
     entries = materialize(top.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
-    index = entries.select(F.col("code").alias("other"), F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(F.col("code"), i, m).alias("val")) for i in range(m)])).alias("key")).select("other", "key.*")
+    total = entries.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    parts = segments(m)
+    keys = lambda code, name: F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(code, a, w).alias(name)) for i, (a, w) in enumerate(parts)]))
+    index = entries.select(F.col("code").alias("other"), F.size("ids").alias("n"), keys(F.col("code"), "val").alias("key")).select("other", "n", "key.*")
     # equal query codes ask once
     asked = queries.where("code is not null and query_id is not null").select("query_id", "code")
-    open_q, total = materialize(asked.select("code").distinct(), "queries"), entries.agg(F.sum(F.size("ids"))).first()[0] or 0
+    open_q, widest = materialize(asked.select("code").distinct(), "queries"), max(w for _, w in parts)
     best, done = None, None
-    for s in range(width + 1):
-        cut = open_q.select("code", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(F.col("code"), i, m).alias("own")) for i in range(m)])).alias("key"))
-        probes = cut.select("code", "key.seg", F.col("key.own"), F.explode(F.lit(masks(width, s))).alias("mask")).select("code", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"))
-        hits = probes.join(index, ["seg", "val"]).select("code", "other").distinct()
+    for s in range(widest + 1):
+        cut = open_q.select("code", keys(F.col("code"), "own").alias("key")).select("code", "key.*")
+        none = F.expr("cast(array() as array<int>)")  # a segment of fewer than s bits
+        flips = F.element_at(F.array(*[F.lit(masks(w, s)) if s <= w else none for _, w in parts]), F.col("seg") + 1)
+        probes = cut.select("code", "seg", "own", F.explode(flips).alias("mask")).select("code", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"))
+        # Spark takes exploded rows for as few as their source and would broadcast them
+        hits = probes.hint("merge").join(index, ["seg", "val"]).select("code", "other", "n")
         hits = hits.withColumn("distance", F.bit_count(F.col("code").bitwiseXOR(F.col("other"))).cast("int"))
-        if best is not None:
-            hits = best.select("code", "other", "distance").unionByName(hits).distinct()
+        hits = (hits if best is None else best.unionByName(hits)).distinct()
         # entries that can be among the first k ids: fewer than k ids stand before them
-        near = hits.join(entries.select(F.col("code").alias("other"), F.size("ids").alias("n")), "other")
         before = Window.partitionBy("code").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
-        near = near.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("ahead") < k)
+        near = hits.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("ahead") < k).drop("ahead")
         near = materialize(near, "nearest")
         found = near.groupBy("code").agg(F.sum("n").alias("n"), F.max("distance").alias("kth"))
         covered = m * (s + 1) - 1
         sure = found.where((F.col("n") >= min(k, total)) & (F.col("kth") <= covered)).select("code")
-        sure = open_q.select("code") if s == width else sure
+        sure = open_q.select("code") if s == widest else sure
         out = near.join(sure, "code", "left_semi").select("code", "other", "distance")
         done = out if done is None else done.unionByName(out)
         open_q = materialize(open_q.join(sure, "code", "left_anti"), "queries")
         if open_q.isEmpty():
             break
-        best = near.join(open_q, "code", "left_semi")
-    ids = done.join(entries.select(F.col("code").alias("other"), "ids"), "other").select("code", "distance", F.explode("ids").alias("vec_id"))
+        best = near.join(open_q, "code", "left_semi").select("code", "other", "n", "distance")
+    ids = done.hint("merge").join(entries.select(F.col("code").alias("other"), "ids"), "other").select("code", "distance", F.explode("ids").alias("vec_id"))
     rank = F.row_number().over(Window.partitionBy("code").orderBy("distance", "vec_id"))
     firsts = ids.withColumn("rank", rank).where(F.col("rank") <= k)
     return asked.join(firsts, "code").select("query_id", "rank", "vec_id", "distance")
