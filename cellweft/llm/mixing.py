@@ -16,6 +16,12 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
+def _size_class(size: Column) -> Column:
+    """Four classes per doubling of the size, in order, by its leading bits; at most 251."""
+    shift = F.char_length(F.bin(size)) - 3
+    return F.when(size < 8, size).otherwise(shift * 4 + F.call_function("shiftright", size, shift)).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Target size of each source.
 
@@ -56,8 +62,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     then doc_id. The prefix sum of expected copies after the k-th is k times that
     ratio, so it is formed from whole counts: documents in earlier slots of the
     source plus the row number in the slot. With one random offset per source a
-    document is emitted once per integer crossed. Slots make a hot source many
-    groups; only counts per (source, slot) are gathered.
+    document is emitted once per integer crossed. Slots make a hot source, or one size that
+    many copies share, many groups; only counts per (source, class, slot) are gathered.
 
     Null source: a source of its own, last. Null text: size 0. Null doc_id: its
     own place in the order. Repeated rows count as rows. Empty table: empty.
@@ -66,9 +72,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         docs = docs.withColumn("size", word_count("text"))
     docs = docs.drop("source_size", "target", "copies", "taken")
     if slots is None:
-        slots = max(256, docs.count() // 100_000)
+        slots = max(16, docs.count() // 100_000)
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_cw_src": _key(F.col("source")), "_cw_slot": hash32(id_text) % slots})
+    keyed = docs.withColumns({"_cw_src": _key(F.col("source")), "_cw_slot": (300 - _size_class(F.col("size"))) * slots + hash32(id_text) % slots})
     counts = keyed.groupBy("_cw_src", "_cw_slot").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("size"))
     counts = materialize(counts, "mix-counts")
     targets = source_targets(counts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
@@ -99,8 +105,9 @@ SQL_OP4 = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
          coalesce('s' || source, 'n') src,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 256 slot
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 16 spread
   from documents),
+classed as (select *, case when size < 8 then size else (length(bin(size)) - 3) * 4 + (size >> (length(bin(size)) - 3)) end cls from sized),
 sources as (select source, src, sum(size)::bigint source_size from sized group by all),
 ranked as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double weight,
                   row_number() over (order by source nulls last) rank from sources),
@@ -115,7 +122,7 @@ targets as (select src, source_size,
             from filled f cross join open_at o),
 offsets as (select *, case when source_size > 0 then target / source_size else 0.0::double end ratio,
                    ('0x' || substr(md5('17|' || src), 1, 8))::bigint / 4294967296.0::double u from targets),
-placed as (select s.*, row_number() over (partition by src order by slot, size desc, doc_id) k from sized s)
+placed as (select s.*, row_number() over (partition by src order by cls desc, spread, size desc, doc_id) k from classed s)
 select doc_id, size, source_size, target,
        (floor(k * ratio + u) - floor((k - 1) * ratio + u))::bigint * size taken
 from placed join offsets using (src)
