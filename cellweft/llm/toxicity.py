@@ -1,8 +1,8 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Bounded sample: the model is fitted on at most `max_positive` + `max_negative`
-labelled rows (those with the smallest hash of doc_id), so that training time does
-not grow; scoring covers every text.
+Bounded sample: the model is fitted on at most `max_rows` labelled rows (those with
+the smallest hash of doc_id, whatever their label, so that the classes keep their
+shares), and training time does not grow; scoring covers every text.
 """
 
 from __future__ import annotations
@@ -74,6 +74,24 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 0.2, beta: f
     return weights(np.arange((1 << BITS) + 1)).astype(np.float32)
 
 
+def calibrated(rows: list[np.ndarray], labels: np.ndarray, hold: int = 5) -> np.ndarray:
+    """FTRL weights from all but each `hold`-th row, the bias shifted so that a score of 0.5 makes fewest errors on the rest."""
+    kept = [i for i in range(len(rows)) if i % hold == 0]
+    fit = [i for i in range(len(rows)) if i % hold != 0] or kept
+    w = ftrl([rows[i] for i in fit], labels[fit])
+    margin = np.array([w[rows[i]].sum() + w[-1] for i in kept])
+    order = np.argsort(margin, kind="stable")
+    m, y = margin[order], labels[kept][order]
+    if 0 < y.sum() < len(y):
+        missed = np.concatenate([[0], np.cumsum(y)])
+        errors = missed + (len(y) - y.sum()) - np.concatenate([[0], np.cumsum(1 - y)])
+        best = np.flatnonzero(errors == errors.min())
+        j = int(best[len(best) // 2])
+        low, high = (m[j - 1] if j else m[0] - 1), (m[j] if j < len(m) else m[-1] + 1)
+        w[-1] -= (low + high) / 2
+    return w
+
+
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weights that are not zero, from all rows of one (bounded) partition."""
     rows, place, label = [], [], []
@@ -83,12 +101,12 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place += b.column(0).to_pylist()
             label += b.column(2).to_pylist()
     order = sorted(range(len(rows)), key=lambda i: (place[i], label[i], len(rows[i])))
-    w = ftrl([rows[i] for i in order], np.array(label, np.float64)[order])
+    w = calibrated([rows[i] for i in order], np.array(label, np.float64)[order])
     at = np.flatnonzero(w)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(w[at])], ["feature", "weight"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_negative: int = 12000) -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 18000) -> np.ndarray:
     """Weights learned from the texts of `docs` and labels (doc_id, toxic); no labelled row: all zero.
 
     The sample is chosen among the labels alone; only its texts are read further,
@@ -96,9 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_nega
     """
     place = hash32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = own.withColumn("place", place)
-    parts = [own.where(F.col("toxic") == y).orderBy("place", "doc_id").limit(most) for y, most in ((1, max_positive), (0, max_negative))]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))  # at most max_positive + max_negative rows of three numbers
+    chosen = F.broadcast(own.withColumn("place", place).orderBy("place", "doc_id").limit(max_rows))  # at most max_rows rows of three numbers
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id").select("place", "text", "toxic")
     got = rows.repartition(1).mapInArrow(_train_rows, "feature int, weight float").toPandas()
     weights = np.zeros((1 << BITS) + 1, np.float32)
