@@ -3,9 +3,11 @@
 The battery scores how well a token fits a uniform draw from the alphabet of its
 inferred encoding: chi-squared uniformity of its characters, a runs test about the
 middle of the alphabet, and serial correlation of neighbours, combined by Fisher's
-method. Natural tokens (letters only, one case or capitalised) of the same length
-class show how high ordinary words score; against them each candidate gets a
-p-value, and Benjamini-Hochberg per length class selects those that are added.
+method. How high ordinary words of the same length score is known from a model of
+runs of letters with their natural frequencies, and from the natural tokens (letters
+only, one case or capitalised) of the same length class where there are any. Against
+the higher of both each candidate gets a p-value, and Benjamini-Hochberg per length
+class selects those that are added.
 """
 
 from __future__ import annotations
@@ -13,10 +15,11 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.llm.common import materialize, table
@@ -43,6 +46,12 @@ _SETS = {k: frozenset(v) for k, v in ENCODINGS.items()}
 _INDEX = {k: {c: i for i, c in enumerate(v)} for k, v in ENCODINGS.items()}
 #: Scores are kept in this many steps of log10, from 1 down to 10**-12.
 STEPS = 240
+#: Natural frequencies of the letters a to z, per 1000.
+LETTERS = np.array([82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.7])
+#: Exponents of the frequencies that the model draws with, from natural to uniform, and draws with each.
+TILTS, DRAWS = (1.0, 0.75, 0.5, 0.25, 0.0), 400
+#: Longer runs count as of this length, which is on the safe side: they look less random.
+LONGEST = 256
 
 
 def _normal_tail(z: float) -> float:
@@ -94,6 +103,46 @@ def length_class(n: int) -> int:
     return int(2 * math.log2(n))
 
 
+def score_step(p: float) -> int:
+    """The bin of a score; 0 holds the highest."""
+    return min(int(-20 * math.log10(max(p, 1e-12))), STEPS - 1)
+
+
+@lru_cache(maxsize=None)
+def natural_tail(size: int) -> np.ndarray:
+    """For each step, the chance that a natural run of a length class scores as high or higher.
+
+    Runs are letters drawn one by one with their frequencies, in lower case, in upper
+    case and capitalised; the highest chance of the three counts, at the shortest length
+    of the class. Draws come from several tilted frequencies and are weighted back
+    (importance sampling), so that chances far below one in all draws are known too.
+    """
+    n = next(n for n in range(20, LONGEST + 1) if n == LONGEST or length_class(n) >= size)
+    rng = np.random.default_rng(size)
+    tilted = np.array([LETTERS**t / (LETTERS**t).sum() for t in TILTS])
+    x = np.concatenate([rng.choice(26, (DRAWS, n), p=q) for q in tilted])
+    logs = np.log(tilted)[:, x].sum(axis=2)
+    weight = np.exp(logs[0] - logs.max(axis=0)) / np.exp(logs - logs.max(axis=0)).mean(axis=0) / len(x)
+    low = ["".join(map(chr, row)) for row in (x + ord("a")).tolist()]
+    tails = [np.cumsum(np.bincount([score_step(randomness(form(t))) for t in low], weight, STEPS)) for form in (str, str.upper, str.capitalize)]
+    return np.minimum(np.max(tails, axis=0), 1)
+
+
+def step_limits(bins: list[tuple[int, int, int, int]], rate: float) -> dict[int, int]:
+    """The last step that is added, by length class, from rows (class, step, natural tokens, other tokens)."""
+    out = {}
+    for size in sorted({b[0] for b in bins}):
+        natural, other = np.zeros(STEPS), np.zeros(STEPS)
+        for _, step, a, b in (b for b in bins if b[0] == size):
+            natural[step], other[step] = a, b
+        seen = np.cumsum(natural)
+        p = np.maximum(natural_tail(size), np.where(seen > 0, (1 + seen) / (1 + natural.sum()), 0))
+        ok = np.flatnonzero((p <= rate * np.cumsum(other) / max(other.sum(), 1)) & (natural + other > 0))
+        if len(ok):
+            out[size] = int(ok[-1])
+    return out
+
+
 def find_base(text: str) -> list[tuple[str, int, int]]:
     out = []
     low = text.lower()
@@ -112,8 +161,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base.append([{"kind": k, "start": s, "end": e} for k, s, e in find_base(text)])
             some = []
             for m in CANDIDATE.finditer(text):
-                p = randomness(m.group())
-                step = min(int(-20 * math.log10(max(p, 1e-12))), STEPS - 1)
+                step = score_step(randomness(m.group()))
                 some.append({"start": m.start(), "end": m.end(), "size": length_class(m.end() - m.start()), "step": step, "natural": bool(NATURAL.fullmatch(m.group()))})
             tokens.append(some)
         yield pd.DataFrame({"doc_id": pdf["doc_id"], "base": base, "tokens": tokens})
@@ -129,22 +177,16 @@ def find_secrets(docs: DataFrame, rate: float = 0.05) -> DataFrame:
     added: tokens that the battery selects (kind random) and that no base span
     crosses. Null text: empty. Repeated rows each give a row; null doc_id is kept.
 
-    A score's p-value in its length class is (1 + natural tokens that score as high)
-    / (1 + natural tokens). Scores are binned, so that classes and bins are all that is
-    gathered; a bin is judged by its upper end, which is on the safe side.
+    A score's p-value in its length class is the chance that the model of natural runs
+    scores as high, or (1 + natural tokens that score as high) / (1 + natural tokens)
+    where there are such tokens and that is more. Scores are binned, so that classes and
+    bins are all that is gathered; a bin is judged by its lower end, which is on the safe side.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     token = "struct<start:int,end:int,size:int,step:int,natural:boolean>"
     found = materialize(rows.mapInPandas(_scan, f"doc_id long, base array<{SPAN}>, tokens array<{token}>"), "secrets")
     bins = found.select(F.explode("tokens").alias("t")).groupBy("t.size", "t.step").agg(F.count(F.when(F.col("t.natural"), 1)).alias("natural"), F.count(F.when(~F.col("t.natural"), 1)).alias("other"))
-    # at most STEPS rows per length class from here on
-    up = Window.partitionBy("size").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("size")
-    p = (1 + F.sum("natural").over(up)) / (1 + F.sum("natural").over(every))
-    allowed = rate * F.sum("other").over(up) / F.greatest(F.sum("other").over(every), F.lit(1))
-    limits = bins.withColumns({"p": p, "allowed": allowed}).where(F.col("p") <= F.col("allowed")).groupBy("size").agg(F.max("step").alias("limit"))
-    limits = limits.agg(F.map_from_entries(F.collect_list(F.struct("size", "limit"))).alias("limits"))  # a row per length class, of which there are at most 62
-    chosen = {int(k): int(v) for k, v in (limits.first()["limits"] or {}).items()}
+    chosen = step_limits([tuple(map(int, b)) for b in bins.collect()], rate)  # at most STEPS rows per length class, of which there are at most 62
     crossed = lambda s: F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     if not chosen:
         added = F.expr(f"cast(array() as array<{SPAN}>)")

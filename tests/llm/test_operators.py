@@ -373,6 +373,25 @@ def test_secret_scan_adds_random_tokens(spark):
     assert not any(got.values())
 
 
+@pytest.mark.parametrize("length", [28, 40, 64])
+def test_secret_scan_adds_keys_where_no_natural_token_is_as_long(spark, length):
+    rng = np.random.default_rng(length)
+    words = ["the", "quick", "internationalization", "of", "ordinary", "prose", "thereforenevertheless", "a_name_with_underscores_and_words", "path/of/some/folder/with/a/file/in"]
+    rows = [(i, " ".join(rng.choice(words, 30))) for i in range(40)]
+    keys = ["".join(rng.choice(list(secret_scan.ENCODINGS["base62"]), length)) for _ in range(20)]
+    rows += [(1000 + i, f"x {k} y") for i, k in enumerate(keys)]
+    got = {r.doc_id: [(s.start, s.end) for s in r.added] for r in secret_scan.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[1000 + i] == [(2, 2 + length)] for i in range(20)) >= 14
+    assert not any(v for k, v in got.items() if k < 1000)
+
+
+def test_natural_tail_falls_with_length():
+    tails = [secret_scan.natural_tail(c)[20] for c in (8, 9, 10, 11, 12)]
+    assert tails == sorted(tails, reverse=True)
+    assert tails[2] < 1e-2
+    assert secret_scan.natural_tail(10)[-1] == pytest.approx(1, abs=0.2)
+
+
 # 10 ---------------------------------------------------------------------------------------------
 
 
