@@ -2,12 +2,13 @@
 
 Documents are sets of five-word shingles. Each set is embedded in T MinHash
 coordinates, of which two sets share a share that estimates their Jaccard
-similarity. A run starts with all sets in one bucket and splits buckets by the
-values of a few coordinates sampled for that bucket (1 / threshold of them
-expected), so that similar sets stay together in some branch. A bucket that is
-small, or tight (it keeps most of the bucket that it came from), is compared
-directly. Enough runs are made that a pair at the threshold is met with
-probability `recall` or more by its first split alone.
+similarity. A run starts with all sets in one bucket, splits it by one coordinate, and
+goes on splitting buckets by the values of a few coordinates sampled for each of them
+(more than 1 / threshold, so that the branches that keep a pair together multiply and
+it is not lost, however often buckets are split). A bucket that is small, or tight (it
+keeps most of the bucket that it came from), is compared directly. Enough runs, each
+with a coordinate of its own, are made that a pair at the threshold is met with
+probability `recall` or more after the splits of all levels.
 """
 
 from __future__ import annotations
@@ -112,15 +113,43 @@ def _value(i: Column) -> Column:
     return F.substring("hex", i * 8 + 1, F.lit(8))
 
 
-def _chosen(bucket: Column, threshold: float) -> Column:
-    """Coordinates sampled for a bucket: each with probability 1 / (threshold T)."""
-    limit = int(2**20 / (threshold * T))
-    return F.filter(F.sequence(F.lit(0), F.lit(T - 1)), lambda i: F.pmod(F.xxhash64(bucket, i), F.lit(2**20)) < limit)
+def _draws(level: int) -> int:
+    """Coordinates that a bucket is split by: one at the root of a run, then more than 1 / threshold."""
+    return (1, 4)[level] if level < 2 else 2
 
 
-def root_coordinates(threshold: float, recall: float, seed: int = 1) -> list[int]:
-    """Coordinates sampled at the roots of all runs: as many as make a pair at the threshold meet with probability `recall`."""
-    n = min(T, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+def _chosen(bucket: Column, used: Column, n: int) -> Column:
+    """n coordinates sampled for a bucket, other than those on its path (bits of `used`)."""
+    free = F.filter(F.sequence(F.lit(0), F.lit(T - 1)), lambda i: F.call_function("getbit", used, i) == 0)
+    order = F.array_sort(F.transform(free, lambda i: F.struct(F.xxhash64(bucket, i).alias("key"), i.alias("i"))))
+    return F.transform(F.slice(order, 1, n), lambda x: x["i"])
+
+
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+
+def missed(threshold: float, runs: int, depth: int) -> float:
+    """Probability that a pair at the threshold is in one bucket of no run after `depth` levels of splits.
+
+    By the number k of coordinates that the pair shares, of which a bucket on a path of
+    j splits has k - j left among T - j. A bucket that holds the pair loses it when all
+    of its draws do.
+    """
+    total = 0.0
+    for k in range(T + 1):
+        lost = 0.0
+        for j in range(depth - 1, 0, -1):
+            share = max(k - j, 0) / (T - j)
+            lost = (1 - share + share * lost) ** _draws(j)
+        roots = sum(math.comb(k, r) * math.comb(T - k, runs - r) * lost**r for r in range(runs + 1)) / math.comb(T, runs)
+        total += math.comb(T, k) * threshold**k * (1 - threshold) ** (T - k) * roots
+    return total
+
+
+def root_coordinates(threshold: float, recall: float, depth: int = 8, seed: int = 1) -> list[int]:
+    """Coordinates at the roots of the runs: as many as make a pair at the threshold meet with probability `recall`."""
+    n = next((n for n in range(1, T) if missed(threshold, n, depth) <= 1 - recall), T)
     order = np.argsort(tv.mix64(np.arange(T, dtype=np.uint64) + np.uint64(seed << 32)))
     return sorted(int(x) for x in order[:n])
 
@@ -129,22 +158,23 @@ def paths(sets: DataFrame, threshold: float, recall: float, small: int = 2000, t
     """Rows (bucket, node, payload, size) to compare directly, from rows (node, payload)."""
     total = sets.count()
     tall = sets.withColumn("hex", F.hex("payload"))
-    roots = F.array(*[F.xxhash64(F.lit(i), _value(F.lit(i))) for i in root_coordinates(threshold, recall)])
-    level = tall.select("node", F.explode(roots).alias("bucket"), F.lit(total).cast("long").alias("parent"))
+    roots = F.array(*[F.struct(F.xxhash64(F.lit(i), _value(F.lit(i))).alias("bucket"), _bit(F.lit(i)).alias("used")) for i in root_coordinates(threshold, recall, depth)])
+    level = tall.select("node", F.inline(roots), F.lit(total).cast("long").alias("parent"))
     done = None
     for step in range(depth):
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        level = materialize(level.join(sizes, "bucket"), "paths")
         last = step == depth - 1
         ready = (F.col("size") <= small) | (F.col("size") >= tight * F.col("parent")) | F.lit(last)
-        out = level.where(ready).select("bucket", "node", "size")
+        sizes = level.groupBy("bucket").agg(F.count("*").alias("size"), F.max("parent").alias("parent"), F.max("used").alias("used")).where("size > 1")
+        sizes = sizes.select("bucket", "size", "used", F.when(~ready, _chosen(F.col("bucket"), F.col("used"), _draws(step + 1))).alias("picks"))
+        level = materialize(level.select("node", "bucket").join(sizes, "bucket"), "paths")
+        out = level.where("picks is null").select("bucket", "node", "size")
         done = out if done is None else done.unionByName(out)
-        open_rows = level.where(~ready)
+        open_rows = level.where("picks is not null")
         if last or open_rows.isEmpty():
             break
         wide = open_rows.join(tall.select("node", "hex"), "node")
-        picks = F.transform(_chosen(F.col("bucket"), threshold), lambda i: F.xxhash64("bucket", i, _value(i)))
-        level = wide.select("node", F.explode(picks).alias("bucket"), F.col("size").alias("parent"))
+        split = F.transform("picks", lambda i: F.struct(F.xxhash64("bucket", i, _value(i)).alias("bucket"), F.col("used").bitwiseOR(_bit(i)).alias("used")))
+        level = wide.select("node", F.col("size").alias("parent"), F.inline(split))
     return done.join(sets, "node")
 
 
@@ -209,7 +239,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     # 1. candidate components. A leader stands for sets at distance 1 - t or less; a
     # member within 1 - t of one of these is within 2 (1 - t) of the leader. `slack`
     # allows five standard deviations of the estimate.
-    slack = 5 * math.sqrt(threshold * (1 - threshold) / T) / 2
+    slack = 5 * math.sqrt(threshold * (1 - threshold) / T)
     ready = paths(classes.select("node", "payload"), threshold, recall)
     edges = salted_leader_edges(ready, _decode, _agreement, _rowwise, threshold, 1 - 2 * (1 - threshold) - slack, 1 - 3 * (1 - threshold) - slack)
     candidates = connected_components(edges)

@@ -419,6 +419,26 @@ def test_jaccard_join(spark, docs, local, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_paths_keep_pairs_over_many_splits(spark):
+    """Pairs at 0.8 in buckets that must be split again and again."""
+    rng = np.random.default_rng(5)
+    pairs = 300
+    passages = rng.integers(1, 2**32, (3, jaccard_join.T), dtype=np.uint32)
+    left = passages[rng.integers(0, 3, (pairs, jaccard_join.T)), np.arange(jaccard_join.T)]
+    right = np.where(rng.random(left.shape) < 0.8, left, rng.integers(1, 2**32, left.shape, dtype=np.uint32))
+    sets = spark.createDataFrame([(2 * i + k, bytearray(x[i].tobytes())) for k, x in enumerate((left, right)) for i in range(pairs)], "node long, payload binary")
+    buckets = jaccard_join.paths(sets, 0.8, 0.999999, small=8)
+    met = buckets.selectExpr("bucket", "node div 2 pair").groupBy("bucket", "pair").count().where("count > 1").select("pair").distinct().count()
+    assert met == pairs
+
+
+def test_runs_are_planned_over_all_levels():
+    for depth in (1, 4, 8):
+        n = len(jaccard_join.root_coordinates(0.8, 0.999999, depth))
+        assert jaccard_join.missed(0.8, n, depth) <= 1e-6 < jaccard_join.missed(0.8, n - 1, depth)
+    assert jaccard_join.missed(0.8, 9, 1) == pytest.approx(0.2**9)
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=25))
 def test_components(spark, pairs):
