@@ -110,36 +110,47 @@ def _ties(who: np.ndarray, ids: np.ndarray, near: np.ndarray, same: dict[int, in
     return a, b
 
 
-def salted_leader_edges(rows: DataFrame, decode, similarity: Similarity, rowwise: Similarity, join_at: float, link_at: float, meet_at: float, salt_rows: int = 20_000) -> DataFrame:
+def salted_leader_edges(rows: DataFrame, decode, similarity: Similarity, rowwise: Similarity, join_at: float, link_at: float, meet_at: float, salt_rows: int = 20_000, block: int = 1000) -> DataFrame:
     """Edges (a, b); buckets of over `salt_rows` rows are dealt to several groups.
 
     `rows` also has the bucket's size. The leaders of the groups of one bucket meet
     in a second step at `meet_at`, which allows for a leader's distance on both sides.
+    They may be nearly all rows of a bucket, so they meet as pairs of blocks of about
+    `block` leaders, spread over tasks.
     """
     salt = F.pmod(F.xxhash64("node"), F.greatest(F.ceil(F.col("size") / salt_rows), F.lit(1)))
     salted = rows.withColumns({"first": F.col("bucket"), "split": F.col("size") > salt_rows, "bucket": F.when(F.col("size") > salt_rows, F.xxhash64("bucket", salt)).otherwise(F.col("bucket"))})
     one = leader_edges(salted, decode, similarity, rowwise, join_at, link_at)
     one = materialize(one, "leaders")
     heads = one.where("a = b").select("bucket", F.col("a").alias("node"))
-    again = salted.where("split").join(heads, ["bucket", "node"]).select(F.col("first").alias("bucket"), "node", "payload", F.lit(False).alias("split"))
-    two = leader_edges(again, decode, similarity, rowwise, 2.0, meet_at)
-    return one.select("a", "b").unionByName(two.select("a", "b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    again = salted.where("split").join(heads, ["bucket", "node"]).select(F.col("first").alias("component"), "node", "payload", F.lit(1).cast("long").alias("weight"))
 
+    def pairs(x: list[bytes], y: list[bytes] | None) -> np.ndarray:
+        left = decode(x)
+        return similarity(left, left if y is None else decode(y))
 
-def blocked(members: DataFrame, block: int) -> DataFrame:
+    two = count_links(blocked(again, block, again.groupBy("component").count()), pairs, meet_at).where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    return one.select("a", "b").unionByName(two).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def blocked(members: DataFrame, block: int, counts: DataFrame | None = None) -> DataFrame:
     """Deals members (component, node, ...) into tasks that together meet every pair of a component once.
 
     Adds job (long), left and right (boolean). A component of at most `block`
     members is one job, in which all are left and right; many small ones share a
     task by hash. A larger one is cut into blocks by hash of the node, and each two
-    blocks, or one with itself, are a job.
+    blocks, or one with itself, are a job. With `counts` (component, count) at hand no
+    task gets a component whole.
     """
-    size = F.count("*").over(Window.partitionBy("component"))
+    if counts is not None:
+        members, size = members.join(counts.withColumnRenamed("count", "_size"), "component"), F.col("_size")
+    else:
+        size = F.count("*").over(Window.partitionBy("component"))
     n = F.greatest(F.ceil(size / block), F.lit(1)).cast("int")
     own = members.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     own = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     lo, hi = F.least("_b", "_o"), F.greatest("_b", "_o")
-    return own.withColumns({"job": F.xxhash64("component", lo, hi), "left": F.col("_b") == lo, "right": F.col("_b") == hi}).drop("_n", "_b", "_o")
+    return own.withColumns({"job": F.xxhash64("component", lo, hi), "left": F.col("_b") == lo, "right": F.col("_b") == hi}).drop("_n", "_b", "_o", "_size")
 
 
 def count_links(jobs: DataFrame, similarity_of: Callable[[list[bytes], list[bytes] | None], np.ndarray], threshold: float) -> DataFrame:

@@ -5,8 +5,9 @@ coordinates, of which two sets share a share that estimates their Jaccard
 similarity. A run starts with all sets in one bucket, splits it by one coordinate, and
 goes on splitting buckets by the values of a few coordinates sampled for each of them
 (more than 1 / threshold, so that the branches that keep a pair together multiply and
-it is not lost, however often buckets are split). A bucket that is small, or tight (it
-keeps most of the bucket that it came from), is compared directly. Enough runs, each
+it is not lost, however often buckets are split). A bucket is compared directly if it
+is small, or tight: it keeps so much of the bucket that it came from that two parts of
+that share would need as many comparisons as itself. Enough runs, each
 with a coordinate of its own, are made that a pair at the threshold is met with
 probability `recall` or more after the splits of all levels.
 """
@@ -154,7 +155,7 @@ def root_coordinates(threshold: float, recall: float, depth: int = 8, seed: int
     return sorted(int(x) for x in order[:n])
 
 
-def paths(sets: DataFrame, threshold: float, recall: float, small: int = 2000, tight: float = 0.5, depth: int = 8) -> DataFrame:
+def paths(sets: DataFrame, threshold: float, recall: float, small: int = 2000, tight: float = math.sqrt(0.5), depth: int = 8) -> DataFrame:
     """Rows (bucket, node, payload, size) to compare directly, from rows (node, payload)."""
     total = sets.count()
     tall = sets.withColumn("hex", F.hex("payload"))

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 pytest.importorskip("cellweft.llm")
 
 from cellweft.llm import (  # noqa: E402
+    clusters,
     embed_dedup,
     hamming_topk,
     jaccard_join,
@@ -432,6 +433,33 @@ def test_paths_keep_pairs_over_many_splits(spark):
     assert met == pairs
 
 
+def test_leaders_of_salts_meet_in_blocks(spark):
+    """Rows that join no leader: no task gets all of them, and near ones are tied whatever their salts."""
+    rng = np.random.default_rng(6)
+    n, sizes = 400, spark.sparkContext.accumulator(0)
+    x = rng.integers(1, 2**32, (n, jaccard_join.T), dtype=np.uint32)
+    for i in range(0, n, 4):  # 0.6 similar: too far to join, near enough to meet
+        x[i + 1, :38] = x[i, :38]
+
+    def similarity(a, b):
+        sizes.add(int(len(a) > 120 or len(b) > 120))
+        return jaccard_join._agreement(a, b)
+
+    rows = spark.createDataFrame([(7, i, bytearray(x[i].tobytes()), n) for i in range(n)], "bucket long, node long, payload binary, size long")
+    edges = clusters.salted_leader_edges(rows, jaccard_join._decode, similarity, jaccard_join._rowwise, 0.8, 0.55, 0.55, salt_rows=50, block=50)
+    assert {(r.a, r.b) for r in edges.collect()} == {(i + 1, i) for i in range(0, n, 4)}
+    assert sizes.value == 0
+
+
+def test_paths_split_a_passage_of_most_shingles(spark):
+    """A passage in 60 % of the coordinates of all: nobody is near anybody, so buckets are split until they are small."""
+    rng = np.random.default_rng(7)
+    n = 600
+    x = np.where(rng.random((n, jaccard_join.T)) < 0.6, rng.integers(1, 2**32, jaccard_join.T, dtype=np.uint32), rng.integers(1, 2**32, (n, jaccard_join.T), dtype=np.uint32))
+    sets = spark.createDataFrame([(i, bytearray(x[i].tobytes())) for i in range(n)], "node long, payload binary")
+    assert jaccard_join.paths(sets, 0.8, 0.999999, small=150).agg({"size": "max"}).first()[0] <= 150
+
+
 def test_runs_are_planned_over_all_levels():
     for depth in (1, 4, 8):
         n = len(jaccard_join.root_coordinates(0.8, 0.999999, depth))
