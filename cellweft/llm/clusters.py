@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweft.llm.common import materialize
+from cellweft.llm.common import join_facts, materialize
 
 #: From two matrices of decoded payloads to the matrix of their similarities.
 Similarity = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -37,9 +37,7 @@ def leader_edges(rows: DataFrame, decode: Callable[[list[bytes]], np.ndarray], s
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, leaders, ids, same = None, None, None, {}
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (part for batch in batches for part in _alike(batch)):
             key, node, data, split = pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), decode(pdf["payload"].tolist()), pdf["split"].to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             sizes = np.diff(cuts)
@@ -78,6 +76,14 @@ def leader_edges(rows: DataFrame, decode: Callable[[list[bytes]], np.ndarray], s
     return rows.select("bucket", "node", "payload", "split").repartition("bucket").sortWithinPartitions("bucket", "node").mapInPandas(run, "bucket long, a long, b long")
 
 
+def _alike(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Stretches of rows whose payloads have one length, as all of a bucket have."""
+    size = pdf["payload"].str.len().to_numpy()
+    cuts = np.flatnonzero(np.concatenate([[True], size[1:] != size[:-1], [True]])) if len(pdf) else [0]
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        yield pdf.iloc[s:e]
+
+
 def _ties(who: np.ndarray, ids: np.ndarray, near: np.ndarray, same: dict[int, int]) -> tuple[list[int], list[int]]:
     """Edges from members to leaders: the first leader near a member, and others not yet joined to it.
 
@@ -129,25 +135,24 @@ def salted_leader_edges(rows: DataFrame, decode, similarity: Similarity, rowwise
         left = decode(x)
         return similarity(left, left if y is None else decode(y))
 
-    two = count_links(blocked(again, block, again.groupBy("component").count()), pairs, meet_at).where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    two = count_links(blocked(again, block), pairs, meet_at).where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b"))
     return one.select("a", "b").unionByName(two).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def blocked(members: DataFrame, block: int, counts: DataFrame | None = None) -> DataFrame:
+def blocked(members: DataFrame, block: int, salts: int = 64) -> DataFrame:
     """Deals members (component, node, ...) into tasks that together meet every pair of a component once.
 
     Adds job (long), left and right (boolean). A component of at most `block`
     members is one job, in which all are left and right; many small ones share a
     task by hash. A larger one is cut into blocks by hash of the node, and each two
-    blocks, or one with itself, are a job. With `counts` (component, count) at hand no
-    task gets a component whole.
+    blocks, or one with itself, are a job. Members learn whether their component is a large one by a
+    join salted with the node, so that no task gets a component whole.
     """
-    if counts is not None:
-        members, size = members.join(counts.withColumnRenamed("count", "_size"), "component"), F.col("_size")
-    else:
-        size = F.count("*").over(Window.partitionBy("component"))
-    n = F.greatest(F.ceil(size / block), F.lit(1)).cast("int")
-    own = members.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
+    large = members.groupBy("component").agg(F.count("*").alias("_size")).where(F.col("_size") > block)
+    large = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(salts)).cast("int"))
+    own = salted.join(large, ["component", "_salt"], "left").drop("_salt")
+    own = own.withColumn("_n", F.coalesce(F.ceil(F.col("_size") / block), F.lit(1)).cast("int")).withColumn("_b", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
     own = own.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     lo, hi = F.least("_b", "_o"), F.greatest("_b", "_o")
     return own.withColumns({"job": F.xxhash64("component", lo, hi), "left": F.col("_b") == lo, "right": F.col("_b") == hi}).drop("_n", "_b", "_o", "_size")
@@ -224,3 +229,10 @@ def _forest(ok: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
             xs += [k] * len(new)
             ys += new.tolist()
     return np.array(xs, int), np.array(ys, int)
+
+
+def component_ids(components: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows (node, component_id): the smallest class_id in the component of each node."""
+    named = materialize(components.join(classes.select("node", "class_id"), "node"), "named")
+    least = materialize(named.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("n")), "named")
+    return join_facts(named.select("node", "component"), least.select("component", "component_id"), "component", least, named.count()).select("node", "component_id")

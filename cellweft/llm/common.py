@@ -54,3 +54,19 @@ def word_count(text: Column | str) -> Column:
 def hash32(value: Column) -> Column:
     """Non-negative 32-bit hash of a string, the same in any SQL engine with md5."""
     return F.conv(F.substring(F.md5(value), 1, 8), 16, 10).cast("long")
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, sizes: DataFrame, total: int, share: int = 1000, least: int = 500) -> DataFrame:
+    """`rows` left-joined with `facts` (one row per key), safe for keys that hold many rows.
+
+    `sizes` has key and n, the rows of each key (all of them, or at least those with
+    many); `total` is the number of rows. Keys with over total / `share` rows, of which
+    there are fewer than `share`, are joined by broadcast, so that no task gets all rows of one.
+    """
+    hot = sizes.where(F.col("n") > max(total // share, least)).select(key)
+    hot = F.broadcast(facts.join(F.broadcast(hot), key, "left_semi").withColumn("_cw_hot", F.lit(True)))  # fewer than `share` rows
+    names = [c for c in facts.columns if c != key]
+    both = rows.join(hot, key, "left")
+    done = both.where("_cw_hot").select(*rows.columns, *names)
+    rest = both.where("_cw_hot is null").select(*rows.columns).join(facts, key, "left").select(*rows.columns, *names)
+    return done.unionByName(rest)

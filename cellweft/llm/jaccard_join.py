@@ -23,8 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellweft.llm import textvec as tv
-from cellweft.llm.clusters import blocked, count_links, salted_leader_edges
-from cellweft.llm.common import materialize, table
+from cellweft.llm.clusters import blocked, component_ids, count_links, salted_leader_edges
+from cellweft.llm.common import join_facts, materialize, table
 from cellweft.llm.graph import connected_components
 
 T = 64
@@ -231,7 +231,9 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
 
     Null and empty texts (no words) link with nothing: each is its own component.
     Fewer than `n` words: all words are one shingle. Null doc_id: takes part like
-    any other, as the largest id. Repeated rows link with each other.
+    any other, as the largest id. Repeated rows link with each other. Empty table: empty.
+    Other columns, whatever their names, are not read. A text is read whole, in one task, in
+    some 60 times its length of memory.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialize(sketch(own, n), "jaccard-sketch")
@@ -251,11 +253,13 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     links = materialize(count_links(blocked(found, block), exact_jaccard, threshold), "jaccard-links")
     n_links = links.groupBy("node").agg(F.sum("n_links").alias("other"))
     exact = connected_components(links.where("to is not null").select(F.col("node").alias("a"), F.col("to").alias("b")))
-    named = exact.join(classes.select("node", "class_id"), "node")
-    named = named.join(named.groupBy("component").agg(F.min("class_id").alias("component_id")), "component").select("node", "component_id")
+    named = component_ids(exact, classes)
     info = classes.select("node", "class_id", "weight").join(n_links, "node", "left").join(named, "node", "left")
     info = info.select(F.col("node").alias("set"), "class_id", (F.col("weight") - 1 + F.coalesce("other", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
-    out = rows.select("doc_id", "set").join(info, "set", "left")
+    info = materialize(info, "jaccard-classes")
+    own, bare = rows.select("doc_id", "set"), rows.where("set = 0").select("doc_id")  # without words: no class
+    out = join_facts(own.where("set <> 0"), info, "set", classes.select(F.col("node").alias("set"), F.col("weight").alias("n")), rows.count())
+    out = out.unionByName(bare, allowMissingColumns=True)
     known = lambda c: F.nullif(c, F.lit(NO_ID))
     return out.select(
         known(F.col("doc_id")).alias("doc_id"),
