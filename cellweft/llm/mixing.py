@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cellweft.llm.common import hash32, materialize, table, word_count
 
-OUT = ("size", "source_size", "target", "copies", "taken")
+#: Slots per size class of a source; a fixed value, so that results do not depend on the table's size.
+SLOTS = 256
 
 
 def _key(source: Column) -> Column:
@@ -50,62 +51,64 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return own.select("source", "source_size", "weight", target.otherwise(F.col("open_at.level") * F.col("weight")).cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, slots: int | None = None) -> DataFrame:
-    """Adds to `docs` how often the mix takes each row.
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 17, into: str = "mix") -> DataFrame:
+    """Adds to `docs` a struct column `into`: size (words), source_size, target, copies (how often the mix takes the row) and taken (words).
 
-    `docs` needs doc_id and source, and either size (words) or text. All its
-    columns are kept; size, source_size, target, copies and taken are added
-    (columns of those names, size apart, are replaced).
+    `docs` needs doc_id, source and text. All its columns are kept as they are, whatever
+    their names (one named as `into` is replaced; names that begin with _cw_ are taken).
 
     Every document of a source is expected target / source_size times. Documents
-    of a source stand in a fixed order: by slot (a hash of doc_id), then size,
-    then doc_id. The prefix sum of expected copies after the k-th is k times that
+    of a source stand in a fixed order: by class of size, then slot (a hash of doc_id), size,
+    doc_id and a hash of the text. The prefix sum of expected copies after the k-th is k times that
     ratio, so it is formed from whole counts: documents in earlier slots of the
     source plus the row number in the slot. With one random offset per source a
-    document is emitted once per integer crossed. Slots make a hot source, or one size that
-    many copies share, many groups; only counts per (source, class, slot) are gathered.
+    document is emitted once per integer crossed. The number of slots is fixed, so that a
+    document's copies depend on no other source and on no size of the table; slots make a
+    hot source, or one size that many copies share, many groups, and only counts per
+    (source, class, slot) are gathered.
 
     Null source: a source of its own, last. Null text: size 0. Null doc_id: its
-    own place in the order. Repeated rows count as rows. Empty table: empty.
+    slot goes by the text. Repeated rows count as rows; which of equal rows is taken
+    makes no difference. Empty table: empty.
     """
-    if "size" not in docs.columns:
-        docs = docs.withColumn("size", word_count("text"))
-    docs = docs.drop("source_size", "target", "copies", "taken")
-    if slots is None:
-        slots = max(16, docs.count() // 100_000)
-    id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_cw_src": _key(F.col("source")), "_cw_slot": (300 - _size_class(F.col("size"))) * slots + hash32(id_text) % slots})
-    counts = keyed.groupBy("_cw_src", "_cw_slot").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    docs = docs.drop(into)
+    text = F.col("text").cast("string")
+    by_id = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    # one pass over the texts; the narrow table is joined to nothing, it only counts
+    keyed = docs.withColumn("_cw_size", word_count(text)).withColumns({"_cw_src": _key(F.col("source")), "_cw_slot": (300 - _size_class(F.col("_cw_size"))) * SLOTS + hash32(by_id) % SLOTS})
+    counts = keyed.groupBy("_cw_src", "_cw_slot").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("_cw_size").alias("size"))
     counts = materialize(counts, "mix-counts")
     targets = source_targets(counts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     earlier = Window.partitionBy("_cw_src").orderBy("_cw_slot").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("_cw_src", "_cw_slot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_cw_base"))
     targets = targets.select(
         _key(F.col("source")).alias("_cw_src"),
-        "source_size",
-        "target",
+        F.col("source_size").alias("_cw_source_size"),
+        F.col("target").alias("_cw_target"),
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_cw_ratio"),
         (hash32(F.concat(F.lit(f"{seed}|"), _key(F.col("source")))) / F.lit(4294967296.0)).alias("_cw_offset"),
     )
     base = base.join(targets, "_cw_src")
-    inside = Window.partitionBy("_cw_src", "_cw_slot").orderBy(F.col("size").desc(), "doc_id")
+    inside = Window.partitionBy("_cw_src", "_cw_slot").orderBy(F.col("_cw_size").desc(), "doc_id", F.xxhash64("text"))
     placed = keyed.withColumn("_cw_k", F.row_number().over(inside)).join(base, ["_cw_src", "_cw_slot"])
     upto = lambda k: F.floor(k * F.col("_cw_ratio") + F.col("_cw_offset"))
     at = F.col("_cw_base") + F.col("_cw_k")
-    out = placed.withColumn("copies", (upto(at) - upto(at - 1)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*docs.columns, "source_size", "target", "copies", "taken")
+    copies = (upto(at) - upto(at - 1)).cast("long")
+    out = placed.withColumn("_cw_copies", copies)
+    added = F.struct(F.col("_cw_size").alias("size"), F.col("_cw_source_size").alias("source_size"), F.col("_cw_target").alias("target"), F.col("_cw_copies").alias("copies"), (F.col("_cw_copies") * F.col("_cw_size")).alias("taken"))
+    return out.select(*docs.columns, added.alias(into))
 
 
 def op4_mix(spark, sf_dir):
-    sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    return mix_sources(materialize(sized, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
 SQL_OP4 = r"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
          coalesce('s' || source, 'n') src,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint % 16 spread
+         ('0x' || substr(md5(coalesce(doc_id::varchar, 't' || md5(coalesce(text, '')))), 1, 8))::bigint % 256 spread
   from documents),
 classed as (select *, case when size < 8 then size else (length(bin(size)) - 3) * 4 + (size >> (length(bin(size)) - 3)) end cls from sized),
 sources as (select source, src, sum(size)::bigint source_size from sized group by all),
