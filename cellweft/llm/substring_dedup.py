@@ -21,6 +21,8 @@ from cellweft.llm import textvec as tv
 from cellweft.llm.common import materialize, table
 
 NO_ID = 2**63 - 1  # stands for a null doc_id inside: later than all others
+#: Default sizes: a chunk has LEAST to MOST bytes, about LEAST + 2**BITS.
+BITS, LEAST, MOST = 6, 48, 320
 #: One 32-bit value per byte value; any fixed random-looking table will do.
 GEAR = (tv.mix64(np.arange(256, dtype=np.uint64) + np.uint64(977)) >> np.uint64(32)).astype(np.uint32)
 
@@ -59,6 +61,7 @@ def _emit(bits: int, least: int, most: int):
                 ends = np.flatnonzero(gear(buf) >> np.uint32(32 - bits) == 0) + 1
                 per = np.searchsorted(ends, offsets, side="right")
                 row0 = secrets.randbits(62)
+                whole = [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "big", signed=True) for t in texts[a:b]]
                 start, stop, owner = [], [], []
                 for i in range(b - a):
                     s, e = int(offsets[i]), int(offsets[i + 1])
@@ -70,34 +73,37 @@ def _emit(bits: int, least: int, most: int):
                 digest = [hashlib.blake2b(data[s:e], digest_size=16).digest() if e > s else None for s, e in zip(start, stop, strict=True)]
                 owner, s, e = np.array(owner), np.array(start), np.array(stop)
                 doc = np.array(ids[a:b], np.int64)[owner]
-                cols = [pa.array(doc), pa.array(row0 + owner), pa.array(s - offsets[owner]), pa.array(e - s), pa.array(digest, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "start", "length", "digest"])
+                cols = [pa.array(doc), pa.array(np.array(whole, np.int64)[owner]), pa.array(row0 + owner), pa.array(s - offsets[owner]), pa.array(e - s), pa.array(digest, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "row", "start", "length", "digest"])
 
     return run
 
 
-def chunk(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 256) -> DataFrame:
-    """Rows doc_id, row (one number per row of `docs`), start, length (bytes), digest; an empty text has one empty chunk."""
+def chunk(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """Rows doc_id, text_hash, row (one number per row of `docs`), start, length (bytes), digest; an empty text has one empty chunk."""
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return own.mapInArrow(_emit(bits, least, most), "doc_id long, row long, start long, length long, digest binary")
+    return own.mapInArrow(_emit(bits, least, most), "doc_id long, text_hash long, row long, start long, length long, digest binary")
 
 
-def substring_dedup(docs: DataFrame, bits: int = 5, least: int = 32, most: int = 256) -> DataFrame:
+def substring_dedup(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_chunks, n_repeats, n_removed, spans.
 
-    A chunk is a repeat if an equal one stands earlier, by doc_id and then place.
+    A chunk is a repeat if an equal one stands earlier: by doc_id, then (rows of one
+    doc_id) by a hash of the text, then place. Equal rows have no order, and any one of them
+    keeps its chunks.
     n_removed: bytes of its repeats; spans: their places as array of (start, length)
     in bytes of the UTF-8 text, neighbours apart.
 
     Chunks have `least` to `most` bytes (the last of a text may be shorter), about
     least + 2**bits. Only digests that occur more than once are joined back. Null and
     empty texts: no bytes, no repeats. Null doc_id: after all others. Of repeated rows
-    all but one are repeats.
+    all but one are repeats. Empty table: empty. Columns other than doc_id and text are not
+    read. Texts are read whole; memory is some 20 times the longest text.
     """
     chunks = materialize(chunk(docs, bits, least, most), "chunks")
-    first = chunks.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "start")).alias("first"))
+    first = chunks.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "row", "start")).alias("first"))
     first = first.where("n > 1").select("digest", "first")
-    repeats = chunks.select("digest", F.struct("doc_id", "row", "start").alias("own"), "length").join(first, "digest").where("own <> first")
+    repeats = chunks.select("digest", F.struct("doc_id", "text_hash", "row", "start").alias("own"), "length").join(first, "digest").where("own <> first")
     per_row = repeats.groupBy(F.col("own.row").alias("row")).agg(F.count("*").alias("n_repeats"), F.sum("length").alias("n_removed"), F.sort_array(F.collect_list(F.struct("own.start", "length"))).alias("spans"))
     rows = chunks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("length").alias("n_bytes"), F.count("digest").alias("n_chunks"))
     out = rows.join(per_row, "row", "left")
