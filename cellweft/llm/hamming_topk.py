@@ -8,6 +8,7 @@ radius grows for the queries whose k-th verified distance is not covered yet.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,7 +21,7 @@ BITS = 64
 
 def sign_code(embedding: Column, bits: int = BITS) -> Column:
     """Code whose bit i says whether component i is above zero (null, missing or NaN: 0)."""
-    one = lambda i: F.when(F.coalesce(F.get(embedding, F.lit(i)), F.lit(0.0)) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
+    one = lambda i: F.when(F.nanvl(F.coalesce(F.get(embedding, F.lit(i)).cast("double"), F.lit(0.0)), F.lit(0.0)) > 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     out = one(0)
     for i in range(1, bits):
         out = out.bitwiseOR(one(i))
@@ -42,7 +43,7 @@ def masks(width: int, radius: int) -> list[int]:
     return [sum(1 << b for b in c) for c in combinations(range(width), radius)]
 
 
-def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, m: int = 4) -> DataFrame:
+def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, m: int | None = None, probes_at_once: int = 1_000_000) -> DataFrame:
     """Rows query_id, rank (from 1), vec_id, distance: the k nearest codes of each query, ties by vec_id.
 
     `codes` has vec_id and code (long), `queries` query_id and code. A query also
@@ -52,25 +53,33 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, m: int = 4)
     Equal codes are one entry that keeps its k smallest ids, which is all that a
     query can use of them; a code that a third of the rows share is one row in
     every index table. A segment has w = 64 / m bits and a round of radius s probes
-    C(w, s) values of each. Best is an m near 64 over the logarithm of the number of
-    codes to base 2, where a value has about one entry: 4 for some 10**5 codes, 3 for
-    10**6 to 10**7.
+    C(w, s) values of each. By default m is near 64 over the logarithm of the number of
+    codes to base 2, where a value has about one entry: 5 for some 10**4 codes, 3 for
+    10**6 to 10**7; the result is exact with any. While probes are few, a round takes several
+    radii, up to `probes_at_once` probes together. Empty tables: no rows. Columns other
+    than those named are not read.
     """
     by_code = Window.partitionBy("code").orderBy("vec_id")
     top = codes.where("code is not null and vec_id is not null").select("code", "vec_id").withColumn("n", F.row_number().over(by_code)).where(F.col("n") <= k)
     entries = materialize(top.groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "codes")
     total = entries.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0]
+    m = m or max(1, round(BITS / math.log2(max(entries.count(), 4))))
     parts = segments(m)
     keys = lambda code, name: F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(code, a, w).alias(name)) for i, (a, w) in enumerate(parts)]))
     index = entries.select(F.col("code").alias("other"), F.size("ids").alias("n"), keys(F.col("code"), "val").alias("key")).select("other", "n", "key.*")
     # equal query codes ask once
     asked = queries.where("code is not null and query_id is not null").select("query_id", "code")
     open_q, widest = materialize(asked.select("code").distinct(), "queries"), max(w for _, w in parts)
-    best, done = None, None
-    for s in range(widest + 1):
+    best, done, asking, start = None, None, open_q.count(), 0
+    while start <= widest:
+        # the radii from start to s, as many as stay few probes together
+        per = [sum(math.comb(w, r) for _, w in parts) for r in range(widest + 1)]
+        s = start
+        while s < widest and max(asking, 200) * sum(per[start : s + 2]) <= probes_at_once:
+            s += 1
         cut = open_q.select("code", keys(F.col("code"), "own").alias("key")).select("code", "key.*")
-        none = F.expr("cast(array() as array<int>)")  # a segment of fewer than s bits
-        flips = F.element_at(F.array(*[F.lit(masks(w, s)) if s <= w else none for _, w in parts]), F.col("seg") + 1)
+        of = lambda w: [x for r in range(start, s + 1) if r <= w for x in masks(w, r)]  # noqa: B023, E731
+        flips = F.element_at(F.array(*[F.lit(of(w)) if start <= w else F.expr("cast(array() as array<int>)") for _, w in parts]), F.col("seg") + 1)
         probes = cut.select("code", "seg", "own", F.explode(flips).alias("mask")).select("code", "seg", F.col("own").bitwiseXOR(F.col("mask")).alias("val"))
         # Spark takes exploded rows for as few as their source and would broadcast them
         hits = probes.hint("merge").join(index, ["seg", "val"]).select("code", "other", "n")
@@ -87,7 +96,8 @@ def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, m: int = 4)
         out = near.join(sure, "code", "left_semi").select("code", "other", "distance")
         done = out if done is None else done.unionByName(out)
         open_q = materialize(open_q.join(sure, "code", "left_anti"), "queries")
-        if open_q.isEmpty():
+        asking, start = open_q.count(), s + 1
+        if not asking:
             break
         best = near.join(open_q, "code", "left_semi").select("code", "other", "n", "distance")
     ids = done.hint("merge").join(entries.select(F.col("code").alias("other"), "ids"), "other").select("code", "distance", F.explode("ids").alias("vec_id"))
@@ -103,7 +113,7 @@ def op7_hamming_topk(spark, sf_dir):
 
 SQL_OP7 = """
 with codes as (
-  select vec_id, list_transform(range(64), lambda i: case when embedding[i + 1] > 0 then 1 else 0 end) bits
+  select vec_id, list_transform(range(64), lambda i: case when embedding[i + 1] > 0 and not isnan(embedding[i + 1]) then 1 else 0 end) bits
   from embeddings where embedding is not null),
 pairs as (
   select q.vec_id query_id, c.vec_id,
