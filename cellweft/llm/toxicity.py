@@ -122,11 +122,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 18000) -> np.ndarr
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Adds score (0 to 1) to the rows of `docs`; only its text is read.
+def score(docs: DataFrame, weights: np.ndarray, into: str = "score") -> DataFrame:
+    """Adds a score (0 to 1, column `into`) to the rows of `docs`; only its text is read.
 
     A text's evidence is the sum of the weights of its distinct features. Null
-    and empty texts get the bias alone. Other columns are passed on.
+    and empty texts get the bias alone. Equal texts get equal scores. Empty table:
+    empty. Texts are read whole; memory is some 60 times the longest text. Other columns
+    are passed on; one named as `into` is replaced.
     """
     spark = docs.sparkSession
     at = np.flatnonzero(weights[:-1])
@@ -144,10 +146,10 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 key = np.unique(d[used] << BITS | f[used])
                 total = np.bincount(key >> BITS, weights=w[key & ((1 << BITS) - 1)].astype(np.float64), minlength=b - a)
                 out.append(1.0 / (1.0 + np.exp(-np.clip(total + bias, -500, 500))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], schema=pa.schema([*batch.schema, pa.field("score", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else [], pa.float64())], schema=pa.schema([*batch.schema, pa.field(into, pa.float64())]))
 
-    docs = docs.drop("score")
-    schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
+    docs = docs.drop(into)
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
