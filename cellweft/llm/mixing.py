@@ -74,8 +74,9 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     docs = docs.drop(into)
     text = F.col("text").cast("string")
     by_id = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
-    # one pass over the texts; the narrow table is joined to nothing, it only counts
-    keyed = docs.withColumn("_cw_size", word_count(text)).withColumns({"_cw_src": _key(F.col("source")), "_cw_slot": (300 - _size_class(F.col("_cw_size"))) * SLOTS + hash32(by_id) % SLOTS})
+    keyed = docs.withColumns({"_cw_size": word_count(text), "_cw_tie": F.xxhash64(text), "_cw_src": _key(F.col("source")), "_cw_spread": hash32(by_id) % SLOTS})
+    # a key that cannot be null: else Spark counts the words once more for a null check before the join
+    keyed = keyed.withColumn("_cw_slot", F.coalesce((300 - _size_class(F.col("_cw_size"))) * SLOTS + F.col("_cw_spread"), F.lit(0)))
     counts = keyed.groupBy("_cw_src", "_cw_slot").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("_cw_size").alias("size"))
     counts = materialize(counts, "mix-counts")
     targets = source_targets(counts.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
@@ -89,7 +90,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         (hash32(F.concat(F.lit(f"{seed}|"), _key(F.col("source")))) / F.lit(4294967296.0)).alias("_cw_offset"),
     )
     base = base.join(targets, "_cw_src")
-    inside = Window.partitionBy("_cw_src", "_cw_slot").orderBy(F.col("_cw_size").desc(), "doc_id", F.xxhash64("text"))
+    inside = Window.partitionBy("_cw_src", "_cw_slot").orderBy(F.col("_cw_size").desc(), "doc_id", "_cw_tie")
     placed = keyed.withColumn("_cw_k", F.row_number().over(inside)).join(base, ["_cw_src", "_cw_slot"])
     upto = lambda k: F.floor(k * F.col("_cw_ratio") + F.col("_cw_offset"))
     at = F.col("_cw_base") + F.col("_cw_k")
