@@ -22,7 +22,7 @@ from cellweft.llm.common import materialize, table
 
 NO_ID = 2**63 - 1  # stands for a null doc_id inside: later than all others
 #: Default sizes: a chunk has LEAST to MOST bytes, about LEAST + 2**BITS.
-BITS, LEAST, MOST = 6, 48, 320
+BITS, LEAST, MOST = 6, 64, 384
 #: One 32-bit value per byte value; any fixed random-looking table will do.
 GEAR = (tv.mix64(np.arange(256, dtype=np.uint64) + np.uint64(977)) >> np.uint64(32)).astype(np.uint32)
 
