@@ -8,11 +8,14 @@ bytes, and each range sorts its suffixes and compares neighbours. They are kept
 packed arrays, one per range and chunk of texts, and a chunk sends equal suffixes
 once: a passage in a third of all texts is one entry per chunk.
 
-A sampled suffix stands for the run of windows that sampled it. Where all runs of a
-leading string are the same, the earliest document is known at once. Else the windows
-of those runs are sorted in a second round, as suffixes of `length` bytes. Bytes are
-compared through digests: 64 bits of leading string and run together with the range,
-64 bits of a window; both hold besides the range that they were dealt to.
+A sampled suffix stands for the run of windows that sampled it. A run that also stands
+in an earlier document is decided at once. What is left are the first documents of the
+runs; where a leading string has several runs, their windows are sorted in a second
+round, as suffixes of `length` bytes. Bytes are compared through digests: 64 bits of the
+leading string with 48 bits of the run; 64 bits of a window with 32 bits of its leading string.
+
+Rows shuffled: one per chunk and range that have an entry in common, so at most as many as there
+are entries (one per 18 bytes of text).
 """
 
 from __future__ import annotations
@@ -98,8 +101,7 @@ class _Runs:
             h = np.minimum(h[: len(h) - (span - w)], h[span - w :])
         place = (h[: b - a] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
         start = np.arange(a, b)
-        doc_end = np.repeat(self.offsets[1:], np.diff(self.offsets))[a:b]
-        inside = start + self.length <= doc_end
+        inside = start + self.length <= self.offsets[np.searchsorted(self.offsets, start, side="right")]
         start, place = start[inside], place[inside] + a
         if not len(start):
             return start, start, start
@@ -107,33 +109,35 @@ class _Runs:
         s, e = np.concatenate([[0], cut]), np.concatenate([cut, [len(start)]]) - 1
         return start[s], start[e], place[s]
 
-    def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct leading strings in order: key, run (0 if there are several), first document, whether there are several, and the index per run."""
-        return _firsts(self.key, self.run, self.ids[self.doc])
+    def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct runs in order of their leading string: key, run, first document, and the index per row."""
+        return _firsts(self.key, self.run & np.uint64((1 << 48) - 1), self.ids[self.doc])
 
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash and document of each window of the runs `of`."""
+    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, hash, check and document of each window of the runs `of`."""
         n = self.hi[of] - self.lo[of] + 1
         start = np.repeat(self.lo[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         h = self.hash(start, start + self.length)
-        return start, tv.mix64(h ^ np.uint64(0x165667B19E3779F9)), np.repeat(self.ids[self.doc[of]], n)
-
-
-def _firsts(key: np.ndarray, run: np.ndarray, ids: np.ndarray, more: np.ndarray | None = None):
-    """Groups of equal keys in order: key, the run if all have the same (else 0), smallest id, whether ids differ (or `more` holds), and the group of each row."""
-    order = np.argsort(key, kind="stable")
-    k, r, d = key[order], run[order], ids[order]
-    start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    if not len(start):
-        return k, r, d, np.zeros(0, bool), np.zeros(0, np.int64)
-    low, high = np.minimum.reduceat(d, start), np.maximum.reduceat(d, start)
-    same = np.minimum.reduceat(r, start) == np.maximum.reduceat(r, start)
-    several = low != high
-    if more is not None:
-        several |= np.maximum.reduceat(more[order].astype(np.int8), start) > 0
+        check = np.repeat(self.key[of] & np.uint64(0xFFFFFFFF), n)
+        return start, tv.mix64(h ^ np.uint64(0x165667B19E3779F9)), check, np.repeat(self.ids[self.doc[of]], n)
+
+
+def _firsts(key: np.ndarray, check: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of equal (key, check) in order: both, the smallest id, and the group of each row."""
+    order = np.lexsort((check, key))
+    k, c = key[order], check[order]
+    if not len(k):
+        return k, c, ids[order], np.zeros(0, np.int64)
+    start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
     group = np.empty(len(k), np.int64)
     group[order] = np.repeat(np.arange(len(start)), np.diff(np.concatenate([start, [len(k)]])))
-    return k[start], np.where(same, r[start], np.uint64(0)), low, several, group
+    return k[start], c[start], np.minimum.reduceat(ids[order], start), group
+
+
+def _not_alone(key: np.ndarray) -> np.ndarray:
+    """Of sorted keys, whether the same stands beside."""
+    same = key[1:] == key[:-1]
+    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
 
 
 def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
@@ -178,66 +182,63 @@ def _emit_runs(length: int, lead: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, docs, data in _rows(batch, "chunk", "docs", "data"):
-                r = _Runs(docs, data, length, lead)
-                key, run_, low, several, _ = r.firsts()
-                yield _dealt(chunk, ranges, key, low, (run_ & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((run_ >> np.uint64(32)) & np.uint64(0xFFFF)).astype(np.uint16), several)
+                key, run_, low, _ = _Runs(docs, data, length, lead).firsts()
+                yield _dealt(chunk, ranges, key, low, (run_ & np.uint64(0xFFFFFFFF)).astype(np.uint32), (run_ >> np.uint64(32)).astype(np.uint16))
 
     return run
 
 
 def _answer_runs(key: tuple, group: pa.Table) -> pa.Table:
-    """Per chunk and leading string: 0 nothing, 1 the earliest document is known, 2 look at the windows."""
-    parts = [_unpack(x, "u1", "u1", "u4", "u2", "?") for x in group.column("payload").to_pylist()]
-    keys = [_keys(p[0]) for p in parts]
-    run = [p[2].astype(np.uint64) | (p[3].astype(np.uint64) << np.uint64(32)) for p in parts]
-    _, r, low, several, at = _firsts(np.concatenate(keys), np.concatenate(run), np.concatenate([_from_planes(p[1], "i8") for p in parts]), np.concatenate([p[4] for p in parts]))
-    state = np.where(several, np.where(r != 0, 1, 2), 0).astype(np.uint8)
-    return _answers(key, group, [len(k) for k in keys], state[at], low[at], 1)
+    """Per chunk and run: 0 nothing earlier outside the chunk, 1 the run stands in an earlier document, 2 look at the windows of its first document."""
+    parts = [_unpack(x, "u1", "u1", "u4", "u2") for x in group.column("payload").to_pylist()]
+    keys, own = [_keys(p[0]) for p in parts], np.concatenate([_from_planes(p[1], "i8") for p in parts])
+    run = np.concatenate([p[2].astype(np.uint64) | (p[3].astype(np.uint64) << np.uint64(32)) for p in parts])
+    k, _, low, at = _firsts(np.concatenate(keys), run, own)
+    state = np.where(low[at] < own, 1, np.where(_not_alone(k)[at], 2, 0)).astype(np.uint8)
+    return _answers(key, group, [len(k) for k in keys], state, low[at])
 
 
-def _answers(key: tuple, group: pa.Table, sizes: list[int], state: np.ndarray, low: np.ndarray, known: int) -> pa.Table:
+def _answers(key: tuple, group: pa.Table, sizes: list[int], state: np.ndarray, low: np.ndarray) -> pa.Table:
     out, a = [], 0
     for n in sizes:
         s = state[a : a + n]
-        out.append(_pack(s, low[a : a + n][s == known]))
+        out.append(_pack(s, low[a : a + n][s == 1]))
         a += n
     return pa.table({"chunk": group.column("chunk"), "range": pa.array([key[0].as_py()] * len(out), pa.int32()), "payload": pa.array(out, pa.binary())})
 
 
 def _answer_windows(key: tuple, group: pa.Table) -> pa.Table:
-    parts = [_unpack(x, "u1", "u1", "?") for x in group.column("payload").to_pylist()]
-    keys = [_keys(p[0]) for p in parts]
-    k = np.concatenate(keys)
-    _, _, low, several, at = _firsts(k, k, np.concatenate([_from_planes(p[1], "i8") for p in parts]), np.concatenate([p[2] for p in parts]))
-    return _answers(key, group, [len(x) for x in keys], several.astype(np.uint8)[at], low[at], 1)
+    parts = [_unpack(x, "u1", "u1", "u4") for x in group.column("payload").to_pylist()]
+    keys, own = [_keys(p[0]) for p in parts], np.concatenate([_from_planes(p[1], "i8") for p in parts])
+    _, _, low, at = _firsts(np.concatenate(keys), np.concatenate([p[2] for p in parts]), own)
+    return _answers(key, group, [len(x) for x in keys], (low[at] < own).astype(np.uint8), low[at])
 
 
-def _read_answers(rows: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    """State and earliest document (where known) of the entries of a chunk, over all ranges in order."""
+def _read_answers(rows: list[dict] | None, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """State and earliest document of the entries of a chunk, over all ranges in order; `own` is the earliest within the chunk."""
     state, low = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
     for row in sorted(rows or [], key=lambda x: x["range"]):
         s, d = _unpack(row["payload"], "u1", "i8")
-        full = np.full(len(s), NO_ID)
-        full[s == 1] = d
-        state.append(s), low.append(full)
-    return np.concatenate(state), np.concatenate(low)
+        state.append(s), low.append(d)
+    first, state = own.copy(), np.concatenate(state)
+    first[state == 1] = np.concatenate(low)
+    return state, first
 
 
 def _open_windows(r: _Runs, rows: list[dict] | None):
-    """What is known of the runs, and the windows of those that are not decided."""
-    group = r.firsts()[4]
-    state, low = _read_answers(rows)
-    state, low = state[group], low[group]
-    return state, low, r.windows(np.flatnonzero(state == 2))
+    """The earliest document known of each run, and the windows of those that are not decided."""
+    _, _, own, group = r.firsts()
+    state, low = _read_answers(rows, own)
+    return low[group], r.windows(np.flatnonzero((state[group] == 2) & (r.ids[r.doc] == own[group])))
 
 
 def _emit_windows(length: int, lead: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, docs, data, known in _rows(batch, "chunk", "docs", "data", "runs"):
-                _, _, (_, h, ids) = _open_windows(_Runs(docs, data, length, lead), known)
-                key, _, low, several, _ = _firsts(h, h, ids)
-                yield _dealt(chunk, ranges, key, low, several)
+                _, (_, h, check, ids) = _open_windows(_Runs(docs, data, length, lead), known)
+                key, check, low, _ = _firsts(h, check, ids)
+                yield _dealt(chunk, ranges, key, low, check.astype(np.uint32))
 
     return run
 
@@ -249,11 +250,9 @@ def _emit_result(length: int, lead: int, keep_text: bool):
         for batch in batches:
             for docs, data, known, seen in _rows(batch, "docs", "data", "runs", "windows"):
                 r = _Runs(docs, data, length, lead)
-                state, low, (start, h, ids) = _open_windows(r, known)
-                _, low2 = _read_answers(seen)
-                low2 = low2[_firsts(h, h, ids)[4]] if len(h) else low2[:0]
-                whole = (state == 1) & (low < r.ids[r.doc])
-                one = low2 < ids
+                low, (start, h, check, ids) = _open_windows(r, known)
+                _, _, own, group = _firsts(h, check, ids)
+                whole, one = low < r.ids[r.doc], _read_answers(seen, own)[1][group] < ids
                 edge = np.zeros(len(r.buf) + 1, np.int32)
                 np.add.at(edge, np.concatenate([r.lo[whole], start[one]]), 1)
                 np.add.at(edge, np.concatenate([r.hi[whole], start[one]]) + length, -1)
@@ -279,7 +278,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, lead: int = 16, chunk_byte
     n_spans: maximal removed runs; kept_sha256: of the remaining bytes.
 
     Null and empty texts: nothing to remove. Null doc_id: later than all others,
-    and not than each other. Rows of one doc_id do not remove from each other.
+    and not than each other. Rows of one doc_id do not remove from each other. Empty
+    table: empty. Columns other than doc_id and text are not read. A text is read whole, with some 60 times
+    its length of memory if it is longer than a chunk.
     """
     spark = docs.sparkSession
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
