@@ -25,9 +25,9 @@ def feature_qc(counts: DataFrame) -> DataFrame:
 
 
 def filter_cells(counts: DataFrame, least_total: float, least_features: int) -> DataFrame:
-    """Counts of cells within fixed bounds."""
-    good = cell_qc(counts).where((F.col("total") >= least_total) & (F.col("n_features") >= least_features)).select("cell")
-    return counts.join(good, "cell", "left_semi")
+    """Counts of cells (of a sample) within fixed bounds."""
+    good = cell_qc(counts).where((F.col("total") >= least_total) & (F.col("n_features") >= least_features)).select("sample", "cell")
+    return counts.join(good, ["sample", "cell"], "left_semi")
 
 
 def filter_mad(df: DataFrame, col: str, k: float, by: str) -> DataFrame:
@@ -90,9 +90,11 @@ def scale(norm: DataFrame) -> DataFrame:
 
 
 def pseudobulk(counts: DataFrame, cells: DataFrame) -> DataFrame:
-    """Sums per (sample, cell type, feature) with subtotals by rollup; level tells which keys are merged."""
+    """Sums per feature and (sample, cell type), with subtotals over cell types and over samples; level tells which keys are merged."""
     joined = counts.select("cell", "feature", "x").join(cells.select("cell", "sample", "cell_type"), "cell")
-    return joined.rollup("sample", "cell_type").agg(F.sum("x").alias("x"), F.countDistinct("feature").alias("features"), F.grouping_id().cast("int").alias("level"))
+    keys = [F.col("feature"), F.col("sample"), F.col("cell_type")]
+    sets = joined.groupingSets([keys, keys[:2], keys[:1]], *keys)
+    return sets.agg(F.sum("x").alias("x"), F.count("*").alias("cells"), F.grouping_id().cast("int").alias("level"))
 
 
 def composition(cells: DataFrame) -> DataFrame:

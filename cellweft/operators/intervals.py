@@ -31,13 +31,25 @@ def overlap_length() -> Column:
     return F.least("en", "b_en") - F.greatest("st", "b_st")
 
 
-def merge_intervals(iv: DataFrame, gap: int = 0) -> DataFrame:
-    """Union of intervals per chrom; those at most `gap` apart become one. n: how many went in."""
-    order = Window.partitionBy("chrom").orderBy("st", "en")
-    before = F.max("en").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = iv.withColumn("_new", F.when(F.col("st") <= before + gap, 0).otherwise(1))
+def merge_intervals(iv: DataFrame, gap: int = 0, stretch: int = 100_000) -> DataFrame:
+    """Union of intervals per chrom; those at most `gap` apart become one. n: how many went in.
+
+    Windows run over stretches of `stretch` bases (of the start), so a chromosome is many
+    tasks. What a stretch must know of those before it is one value each: the furthest end,
+    and how many unions begin there; windows over these pass a row per stretch.
+    """
+    keyed = iv.withColumn("_part", F.floor(F.col("st") / stretch))
+    earlier = Window.partitionBy("chrom").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    reach = keyed.groupBy("chrom", "_part").agg(F.max("en").alias("_far")).withColumn("_far", F.max("_far").over(earlier))
+    order = Window.partitionBy("chrom", "_part").orderBy("st", "en")
+    before = F.greatest(F.max("en").over(order.rowsBetween(Window.unboundedPreceding, -1)), "_far")
+    parts = keyed.join(reach, ["chrom", "_part"]).withColumn("_new", F.when(F.col("st") <= before + gap, 0).otherwise(1))
     parts = parts.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return parts.groupBy("chrom", "_island").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n")).drop("_island")
+    # a union that goes on over stretches has the number that it began with
+    some = parts.groupBy("chrom", "_part", "_island").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.count("*").alias("n"))
+    begun = parts.groupBy("chrom", "_part").agg(F.sum("_new").alias("_begun")).withColumn("_begun", F.coalesce(F.sum("_begun").over(earlier), F.lit(0)))
+    some = some.join(begun, ["chrom", "_part"]).withColumn("_island", F.col("_island") + F.col("_begun"))
+    return some.groupBy("chrom", "_island").agg(F.min("st").alias("st"), F.max("en").alias("en"), F.sum("n").alias("n")).drop("_island")
 
 
 def count_in_intervals(frag: DataFrame, peaks: DataFrame, width: int = 2000) -> DataFrame:

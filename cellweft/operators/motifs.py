@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions.sequence import revcomp
 from cellweft.operators.intervals import interval_score
+from cellweft.operators.tables import materialize
 
 
 def pwm_from_counts(pfm: DataFrame, background: float = 0.25, pseudo: float = 0.5) -> DataFrame:
@@ -138,7 +139,11 @@ def motif_deviation(atac: DataFrame, hits: DataFrame, bg: DataFrame) -> DataFram
     def deviation(sets: DataFrame, keys: list[str]) -> DataFrame:
         share = sets.join(feat, "feature").groupBy(*keys).agg(F.sum("_ft").alias("_st"))
         got = atac.join(sets, "feature").groupBy("cell", *keys).agg(F.sum("x").alias("_o"))
-        every = cell.join(F.broadcast(total)).withColumn("_1", F.lit(1)).join(share.withColumn("_1", F.lit(1)), "_1")  # a row per cell and set, as in the result
+        share = materialize(share, "shares")
+        if share.count() > 100_000:
+            raise ValueError("more than 100,000 sets: score them in parts")
+        sets_ = share.agg(F.collect_list(F.struct(*keys, "_st")).alias("_sets"))  # one row of at most that many
+        every = cell.join(F.broadcast(total)).join(F.broadcast(sets_)).select("cell", "_ct", "_all", F.inline("_sets"))  # a row per cell and set, as in the result
         e = F.col("_ct") * F.col("_st") / F.col("_all")
         return every.join(got, ["cell", *keys], "left").select("cell", *keys, ((F.coalesce("_o", F.lit(0.0)) - e) / e).alias("dev"))
 

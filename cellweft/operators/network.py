@@ -148,13 +148,20 @@ def link_corr(x: DataFrame, y: DataFrame, pairs: DataFrame, n: DataFrame) -> Dat
     sy = y.groupBy(F.col("feature").alias("fy")).agg(F.sum("x").alias("_sy"), F.sum(F.col("x") * F.col("x")).alias("_syy"))
     xs = x.select(F.col("feature").alias("fx"), "cell", F.col("x").alias("_x"))
     ys = y.select(F.col("feature").alias("fy"), "cell", F.col("x").alias("_y"))
-    xy = pairs.join(xs, "fx").join(ys, ["fy", "cell"]).groupBy("fx", "fy").agg(F.sum(F.col("_x") * F.col("_y")).alias("_sxy"))
+    xy = xs.join(ys, "cell").groupBy("fx", "fy").agg(F.sum(F.col("_x") * F.col("_y")).alias("_sxy"))
     j = pairs.join(sx, "fx").join(sy, "fy").join(xy, ["fx", "fy"], "left").join(F.broadcast(n))  # n is one row
     top = F.col("n") * F.coalesce("_sxy", F.lit(0.0)) - F.col("_sx") * F.col("_sy")
     bottom = (F.col("n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")) * (F.col("n") * F.col("_syy") - F.col("_sy") * F.col("_sy"))
     return j.select("fx", "fy", (top / F.sqrt(F.when(bottom > 1e-9, bottom))).alias("corr"))
 
 
+def score_sets(x: DataFrame, sets: DataFrame) -> DataFrame:
+    """Mean of each cell over the features of a set, missing ones as zeros; no row where a cell has none of them."""
+    own = sets.select("set_id", "feature").distinct()
+    size = own.groupBy("set_id").agg(F.count("*").alias("_n"))
+    return x.join(own, "feature").join(size, "set_id").groupBy("cell", "set_id").agg((F.sum("x") / F.first("_n")).alias("score"))
+
+
 def bh_adjust(df: DataFrame, by: str) -> DataFrame:
     """Adds q, the Benjamini-Hochberg adjusted p, within each group; ties by id."""
     up = Window.partitionBy(by).orderBy("p", "id")
@@ -167,14 +174,18 @@ def null_corr(links: DataFrame, stats: DataFrame, draws: int, strata: int = 10)
     """Empirical p of each link from links of other elements whose mean is alike.
 
     Elements are dealt to strata by mean; of the links of a stratum the first `draws`
-    by hash are its background. p = (1 + background at least as strong) / (1 + background).
+    by hash are its background, for a link itself without that link. p = (1 + background at
+    least as strong) / (1 + background). The background has at most strata x draws rows, so
+    it is sent to all tasks and the links are not shuffled by stratum.
     """
     strat = stats.withColumn("stratum", F.ntile(strata).over(Window.orderBy("mean", "feature"))).select(F.col("feature").alias("fx"), "stratum")
     own = links.where("corr is not null").join(strat, "fx")
     order = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("fx", "fy"), "fx", "fy"))
-    back = own.withColumn("_k", order).where(F.col("_k") <= draws).select("stratum", F.col("corr").alias("_c"))
-    p = (1 + F.sum(F.when(F.col("_c") >= F.col("corr"), 1).otherwise(0))) / (1 + F.count("*"))
-    return own.join(back, "stratum").groupBy("fx", "fy").agg(F.first("corr").alias("corr"), p.alias("p"))
+    back = own.withColumn("_k", order).where(F.col("_k") <= draws)
+    back = back.groupBy("stratum").agg(F.collect_list(F.struct("fx", "fy", "corr")).alias("_back"))  # at most `draws` each
+    near = own.join(F.broadcast(back), "stratum").withColumn("_back", F.filter("_back", lambda b: (b["fx"] != F.col("fx")) | (b["fy"] != F.col("fy"))))
+    high = F.size(F.filter("_back", lambda b: b["corr"] >= F.col("corr")))
+    return near.select("fx", "fy", "corr", ((1 + high) / (1 + F.size("_back"))).alias("p"))
 
 
 def grn_edges(hits: DataFrame, links: DataFrame, coexp: DataFrame, cut: float) -> tuple[DataFrame, DataFrame]:
@@ -185,16 +196,31 @@ def grn_edges(hits: DataFrame, links: DataFrame, coexp: DataFrame, cut: float) -
 
 
 def grn_ridge(design: DataFrame, penalty: float) -> DataFrame:
-    """Ridge weights per target from rows (target, obs, regulator, x, y); a target's regulators must be few enough for a dense solve."""
-    def solve(key, pdf):
-        x = pdf.pivot_table(index="obs", columns="regulator", values="x", fill_value=0.0)
-        y = pdf.groupby("obs")["y"].first().reindex(x.index)
-        m = x.to_numpy() - x.to_numpy().mean(axis=0)
-        w = np.linalg.solve(m.T @ m + penalty * np.eye(m.shape[1]), m.T @ (y.to_numpy() - y.mean()))
-        return pd.DataFrame({"target": key[0], "regulator": x.columns, "weight": w})
+    """Ridge weights per target from rows (target, obs, regulator, x, y); a missing x is a zero, of repeated ones the mean counts.
 
+    Only sums go to the solver: products of two regulators and of a regulator with y,
+    summed in Spark, so a target costs the square of its regulators and not its observations.
+    """
     kinds = dict(design.dtypes)
-    return design.groupBy("target").applyInPandas(solve, f"target {kinds['target']}, regulator {kinds['regulator']}, weight double")
+    own = design.groupBy("target", "obs", "regulator").agg(F.avg("x").alias("x"), F.min("y").alias("y"))
+    y = own.groupBy("target", "obs").agg(F.min("y").alias("y")).groupBy("target").agg(F.count("*").alias("n"), F.sum("y").alias("sy"))
+    one = own.groupBy("target", "regulator").agg(F.sum("x").alias("v"), F.sum(F.col("x") * F.col("y")).alias("w"))
+    other = own.select("target", "obs", F.col("regulator").alias("other"), F.col("x").alias("_x"))
+    two = own.join(other, ["target", "obs"]).where("regulator <= other").groupBy("target", "regulator", "other").agg(F.sum(F.col("x") * F.col("_x")).alias("v"))
+    sums = one.withColumn("other", F.lit(None).cast(kinds["regulator"])).unionByName(two.withColumn("w", F.lit(None).cast("double"))).join(y, "target")
+
+    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        single = pdf[pdf["other"].isna()].sort_values("regulator")
+        pair = pdf[pdf["other"].notna()]
+        at = {r: i for i, r in enumerate(single["regulator"])}
+        gram = np.zeros((len(at), len(at)))
+        i, j = pair["regulator"].map(at).to_numpy(int), pair["other"].map(at).to_numpy(int)
+        gram[i, j] = gram[j, i] = pair["v"].to_numpy()
+        n, sy, sx = single["n"].iloc[0], single["sy"].iloc[0], single["v"].to_numpy()
+        w = np.linalg.solve(gram - np.outer(sx, sx) / n + penalty * np.eye(len(at)), single["w"].to_numpy() - sx * sy / n)
+        return pd.DataFrame({"target": key[0], "regulator": single["regulator"], "weight": w})
+
+    return sums.groupBy("target").applyInPandas(solve, f"target {kinds['target']}, regulator {kinds['regulator']}, weight double")
 
 
 def regulon_activity(rna: DataFrame, sets: DataFrame, top: int) -> DataFrame:
@@ -212,7 +238,7 @@ def network_degree(edges: DataFrame, k: int) -> DataFrame:
     return deg.orderBy((F.col("n_out") + F.col("n_in")).desc(), "node").limit(k)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 1) -> DataFrame:
     """Centrality that sums to one; the rank of nodes without out-edges is dealt to all."""
     e = materialize(edges.select("src", "dst").distinct().withColumn("_w", 1 / F.count("*").over(Window.partitionBy("src"))), "rank-edges")
     nodes = materialize(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "rank-nodes")
@@ -236,7 +262,7 @@ def network_diff(one: DataFrame, two: DataFrame, change: float) -> DataFrame:
     return j.select("src", "dst", "w1", "w2", state.alias("state"))
 
 
-def network_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def network_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """Connected modules: the smallest node reachable from each, by rounds of minimum labels with pointer jumps."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).where("a <> b").distinct()
     both = materialize(both, "module-edges")
@@ -249,8 +275,13 @@ def network_components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         settled = nxt.where("_was <> label").isEmpty()
         cur = nxt.select("node", "label")
         if settled:
-            break
-    return cur
+            return cur
+    raise RuntimeError(f"modules not settled after {most_rounds} rounds")
+
+
+def metacell_counts(counts: DataFrame, pools: DataFrame) -> DataFrame:
+    """Counts summed over the cells of each metacell (cell, metacell): metacell, feature, x, cells with the feature."""
+    return counts.join(pools, "cell").groupBy("metacell", "feature").agg(F.sum("x").alias("x"), F.count("*").alias("cells"))
 
 
 def metacells(emb: DataFrame, n: int, seed: int = 5) -> DataFrame:

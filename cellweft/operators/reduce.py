@@ -47,6 +47,8 @@ def lsi(x: DataFrame, features: DataFrame, k: int) -> tuple[DataFrame, list[floa
     number = features.select("feature").distinct().withColumn("_i", F.row_number().over(Window.orderBy("feature")) - 1)
     own = materialize(x.join(number, "feature").select("cell", "_i", "x"), "lsi")
     n = number.count()
+    if n > 5000:
+        raise ValueError(f"{n} features are too many for a square table on the driver; select 5000 at most")
     other = own.select("cell", F.col("_i").alias("_j"), F.col("x").alias("_y"))
     gram = np.zeros((n, n))
     for r in own.join(other, "cell").where("_i <= _j").groupBy("_i", "_j").agg(F.sum(F.col("x") * F.col("_y")).alias("g")).collect():  # at most n * (n + 1) / 2 rows

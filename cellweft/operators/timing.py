@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from cellweft.operators.tables import materialize
 
 
-def pseudotime_geodesic(edges: DataFrame, roots: DataFrame, most_rounds: int = 200) -> DataFrame:
-    """Shortest weighted distance of each node from the roots (edges a, b, distance count both ways); unreachable nodes have no row."""
+def pseudotime_geodesic(edges: DataFrame, roots: DataFrame, most_rounds: int = 100_000) -> DataFrame:
+    """Shortest weighted distance of each node from the roots (edges a, b, distance count both ways); unreachable nodes have no row.
+
+    Rounds go on until nothing changes (as many as the longest shortest path has edges); an error is raised after `most_rounds`.
+    """
     both = edges.select("a", "b", "distance").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     both = materialize(both.groupBy("a", "b").agg(F.min("distance").alias("w")), "geo-edges")
     cur = materialize(roots.select("cell").distinct().withColumn("t", F.lit(0.0)), "geo")
@@ -21,9 +24,9 @@ def pseudotime_geodesic(edges: DataFrame, roots: DataFrame, most_rounds: int = 2
         cur = materialize(cur.unionByName(step).groupBy("cell").agg(F.min("t").alias("t")), "geo")
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("cell", "t").cast("decimal(38,0)"))).first())
         if now == before:
-            break
+            return cur
         before = now
-    return cur
+    raise RuntimeError(f"distances not settled after {most_rounds} rounds")
 
 
 def pseudotime_diffusion(edges: DataFrame, root: int, m: int = 2, rounds: int = 30) -> DataFrame:
@@ -69,15 +72,23 @@ def circular_mean(phases: DataFrame, by: str) -> DataFrame:
 
 
 def bin_time(pt: DataFrame, n: int, mode: str = "width", low: float = 0.0, high: float = 2 * math.pi) -> DataFrame:
-    """Adds bin 0..n-1: equal widths of [low, high), or equal counts by hash-free rank.
+    """Adds bin 0..n-1: equal widths of [low, high), or equal counts in the order of t, then cell (as ntile).
 
-    Equal counts rank all cells in one order; give a summary or a sample of bounded size
-    to that mode, or use quantile edges.
+    Equal counts: cells are ranked within 1000 stretches of time, plus the cells of the
+    stretches before, so that no task ranks them all.
     """
     if mode == "width":
         at = F.floor((F.col("t") - low) * n / (high - low)).cast("int")
         return pt.withColumn("bin", F.greatest(F.least(at, F.lit(n - 1)), F.lit(0)))
-    return pt.withColumn("bin", F.ntile(n).over(Window.orderBy("t", "cell")) - 1)
+    ends = pt.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"), F.count("*").alias("_all"))  # one row
+    part = F.coalesce(F.floor((F.col("t") - F.col("_lo")) * 1000 / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))), F.lit(0))
+    own = pt.join(F.broadcast(ends)).withColumn("_part", F.when(F.col("t").isNull(), -1).otherwise(part))
+    before = own.groupBy("_part").agg(F.count("*").alias("_c"))
+    before = before.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # at most 1002 rows
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy("t", "cell")) - 1 + F.col("_before")
+    ranked = own.join(F.broadcast(before), "_part").withColumns({"_r": rank, "_size": F.expr(f"_all div {n}"), "_more": F.expr(f"_all % {n}")})
+    ntile = F.expr("case when _r < _more * (_size + 1) then _r div (_size + 1) else _more + (_r - _more * (_size + 1)) div _size end")
+    return ranked.withColumn("bin", ntile.cast("int")).select(*pt.columns, "bin")
 
 
 def smooth_trend(trend: DataFrame, reach: int, bins: int | None = None) -> DataFrame:

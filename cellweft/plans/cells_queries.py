@@ -129,7 +129,7 @@ def i10(spark, d):
     return C.rank_markers(C.lognorm(view(spark, d, "m_counts")), view(spark, d, "m_cells").selectExpr("cell", "cell_type grp"), 20)
 
 
-@_add("i12_pseudobulk", duck("select c.sample, cell_type, sum(x) x, count(distinct feature) features, (grouping(c.sample) * 2 + grouping(cell_type))::int \"level\" from (select cell, feature, x from m_counts) t join m_cells c using (cell) group by rollup (c.sample, cell_type)", "m_counts", "m_cells"))
+@_add("i12_pseudobulk", duck("select feature, c.sample, cell_type, sum(x) x, count(*) cells, (grouping(c.sample) * 2 + grouping(cell_type))::int \"level\" from (select cell, feature, x from m_counts) t join m_cells c using (cell) group by feature, rollup (c.sample, cell_type)", "m_counts", "m_cells"))
 def i12(spark, d):
     return C.pseudobulk(view(spark, d, "m_counts"), view(spark, d, "m_cells"))
 

@@ -98,6 +98,11 @@ def i11(spark, d):
     return N.transfer_labels(_knn(spark, d), view(spark, d, "m_emb")).withColumn("share", r("share"))
 
 
+@_add("i11_score_sets", duck("with n as (select set_id, count(distinct feature) n from m_sets group by 1) select cell, set_id, round(sum(x) / any_value(n), 6) score from m_counts join (select distinct set_id, feature from m_sets) using (feature) join n using (set_id) group by 1, 2", "m_counts", "m_sets"))
+def i11b(spark, d):
+    return N.score_sets(view(spark, d, "m_counts"), view(spark, d, "m_sets")).withColumn("score", r("score"))
+
+
 @_add("q17_doublet_score")
 def q17(spark, d):
     return N.doublet_score(view(spark, d, "m_emb"))
@@ -108,8 +113,8 @@ def g2(spark, d):
     return N.metacells(view(spark, d, "m_emb"), 25)
 
 
-# Features of parts and of brands over orders stand for elements and genes.
-_SIDES = """c as (select * from m_counts), x as (select feature, cell, x from c where feature % 4 = 0), y as (select feature, cell, x from c where feature % 4 = 1),
+# Parts of even and of odd number over orders stand for elements and genes: every feature is on one side.
+_SIDES = """c as (select * from m_counts), x as (select feature, cell, x from c where feature % 2 = 0), y as (select feature, cell, x from c where feature % 2 = 1),
 n as (select count(distinct cell) n from c), pairs as (select distinct x.feature fx, y.feature fy from x join y using (cell)),
 lc as (select fx, fy, round((n * sxy - sx * sy) / sqrt(nullif((n * sxx - sx * sx) * (n * syy - sy * sy), 0)), 6) + 0.0 corr from (
   select p.fx, p.fy, (select n from n)::double n, xs.s sx, xs.ss sxx, ys.s sy, ys.ss syy, xy.s sxy from pairs p
@@ -119,7 +124,7 @@ lc as (select fx, fy, round((n * sxy - sx * sy) / sqrt(nullif((n * sxx - sx * sx
 
 def _sides(spark, d):
     c = view(spark, d, "m_counts")
-    x, y = c.where("feature % 4 = 0").select("feature", "cell", "x"), c.where("feature % 4 = 1").select("feature", "cell", "x")
+    x, y = c.where("feature % 2 = 0").select("feature", "cell", "x"), c.where("feature % 2 = 1").select("feature", "cell", "x")
     pairs = x.select(F.col("feature").alias("fx"), "cell").join(y.select(F.col("feature").alias("fy"), "cell"), "cell").select("fx", "fy").distinct()
     return x, y, pairs, c.agg(F.countDistinct("cell").alias("n"))
 
@@ -158,14 +163,14 @@ def g6(spark, d):
     return N.link_corr(x, y, pairs, c.agg(F.countDistinct("cell").alias("n"))).select(F.col("fx").alias("tf"), F.col("fy").alias("gene"), r("corr").alias("corr"))
 
 
-_GRN = f"""{_SIDES}, hits as (select distinct p_size tf, p_partkey pid from part where p_partkey % 4 = 0), links as (select fx pid, fy gene, corr from lc),
-co as (select l_quantity::int % 50 + 1 tf, l_partkey gene, round(count(*) / 20.0, 6)::double corr from lineitem where l_partkey % 4 = 1 group by 1, 2),
+_GRN = f"""{_SIDES}, hits as (select distinct p_size tf, p_partkey pid from part where p_partkey % 2 = 0), links as (select fx pid, fy gene, corr from lc),
+co as (select l_quantity::int % 50 + 1 tf, l_partkey gene, round(count(*) / 20.0, 6)::double corr from lineitem where l_partkey % 2 = 1 group by 1, 2),
 tri as (select h.tf, h.pid, l.gene, l.corr link, c.corr coexp from hits h join links l using (pid) join co c on c.tf = h.tf and c.gene = l.gene where abs(l.corr) >= 0.02 and abs(c.corr) >= 0.02)"""
 
 
 def _grn(spark, d):
-    hits = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 4 = 0").selectExpr("p_size tf", "p_partkey pid")
-    co = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey % 4 = 1").groupBy(F.expr("cast(l_quantity as int) % 50 + 1").alias("tf"), F.col("l_partkey").alias("gene")).agg(F.round(F.count("*") / 20.0, 6).alias("corr"))
+    hits = spark.read.parquet(f"{d}/part.parquet").where("p_partkey % 2 = 0").selectExpr("p_size tf", "p_partkey pid")
+    co = spark.read.parquet(f"{d}/lineitem.parquet").where("l_partkey % 2 = 1").groupBy(F.expr("cast(l_quantity as int) % 50 + 1").alias("tf"), F.col("l_partkey").alias("gene")).agg(F.round(F.count("*") / 20.0, 6).alias("corr"))
     return N.grn_edges(hits, _links(spark, d).select(F.col("fx").alias("pid"), F.col("fy").alias("gene"), "corr"), co, 0.02)
 
 

@@ -115,13 +115,15 @@ def m1(spark, d):
     return M.pwm_from_counts(pfm).withColumn("w", r("w"))
 
 
-_GENOME = "g as (select doc_id chrom, seq from m_seq where length(seq) >= 120), iv as (select doc_id * 10 + k id, doc_id chrom, 13 + 17 * k st, 13 + 17 * k + 40 en, case when k % 2 = 0 then '+' else '-' end strand from m_seq, (select unnest(range(4)) k) where length(seq) >= 120)"
+# intervals of 40 bases tile every whole sequence
+_GENOME = "g as (select doc_id chrom, seq from m_seq), iv as (select doc_id * 100000 + k id, doc_id chrom, 40 * k st, least(40 * k + 40, n) en, case when k % 2 = 0 then '+' else '-' end strand from (select doc_id, length(seq) n, unnest(range((length(seq) + 39) // 40)) k from m_seq))"
 
 
 def _genome(spark, d):
-    g = view(spark, d, "m_seq").where("length(seq) >= 120")
+    g = view(spark, d, "m_seq")
     chunks = g.select(F.col("doc_id").alias("chrom"), F.posexplode(F.regexp_extract_all("seq", F.lit(".{1,50}"), F.lit(0))).alias("k", "seq")).select("chrom", (F.col("k") * 50).cast("long").alias("chunk_start"), "seq")
-    iv = g.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).selectExpr("doc_id * 10 + k id", "doc_id chrom", "cast(13 + 17 * k as bigint) st", "cast(13 + 17 * k + 40 as bigint) en", "case when k % 2 = 0 then '+' else '-' end strand")
+    iv = g.where("seq <> ''").select("doc_id", F.char_length("seq").alias("n"), F.explode(F.sequence(F.lit(0), F.expr("(length(seq) - 1) div 40"))).alias("k"))
+    iv = iv.selectExpr("doc_id * 100000 + k id", "doc_id chrom", "cast(40 * k as bigint) st", "cast(least(40 * k + 40, n) as bigint) en", "case when k % 2 = 0 then '+' else '-' end strand")
     return iv, chunks
 
 
@@ -211,7 +213,17 @@ def m8(spark, d):
     return out.withColumns({"dev": r("dev", 5), "z": r("z", 4)})
 
 
-@_add("m11_conserved_enrichment")
+@_add(
+    "m11_conserved_enrichment",
+    duck(
+        f"""with s as (select pid, sum(score * (least(p.en, t.en) - greatest(p.st, t.st))) / sum(least(p.en, t.en) - greatest(p.st, t.st)) m from m_peaks p join m_track t on p.chrom = t.chrom and p.st < t.en and t.st < p.en group by 1),
+k as (select count(*) filter (pid % 4 = 0 and m >= 5000) kf, count(*) filter (pid % 4 = 0) nf, count(*) filter (pid % 4 <> 0 and m >= 5000) kb, count(*) filter (pid % 4 <> 0) nb from m_peaks left join s using (pid)),
+p as (select sum(exp({_LC.format(n="(kf + kb)", k="i")} + {_LC.format(n="(nf + nb - kf - kb)", k="(nf - i)")} - {_LC.format(n="(nf + nb)", k="nf")})) p from (select *, unnest(range(greatest(kf, nf + kf + kb - nf - nb), least(kf + kb, nf) + 1)) i from k))
+select kf k_fg, nf n_fg, kb k_bg, nb n_bg, round((kf + 0.5) * (nb - kb + 0.5) / ((kb + 0.5) * (nf - kf + 0.5)), 6)::double odds, round(least(p, 1), 6) p from k, p""",
+        "m_peaks",
+        "m_track",
+    ),
+)
 def m11(spark, d):
     p = view(spark, d, "m_peaks")
     out = M.conserved_enrichment(p.where("pid % 4 = 0"), p.where("pid % 4 <> 0"), view(spark, d, "m_track"), 5000.0)

@@ -65,8 +65,8 @@ _view(
 _view(
     "m_rows",
     "documents",
-    "select doc_id div 2 block, cast(doc_id%2 as string) species, substr(seq,1,200) text from m_seq where length(seq)>=200",
-    "select doc_id//2 block, (doc_id%2)::varchar species, substr(seq,1,200) text from m_seq where length(seq)>=200",
+    "select doc_id div 2 block, cast(doc_id%2 as string) species, seq text from m_seq",
+    "select doc_id//2 block, (doc_id%2)::varchar species, seq text from m_seq",
 )
 
 _NEEDS = {"m_rows": ["m_seq"]}

@@ -12,11 +12,11 @@ def read_counts(spark: SparkSession, matrix: str, barcodes: str, features: str,
     Names get their number from their place in the file; each names file is read
     as one split, so it must not be cut (give it unsplittable or small).
     """
-    lines = spark.read.csv(matrix, sep=" ", comment="%", schema="i long, j long, x double")
-    # the first line holds the sizes: its product of rows and columns bounds every entry
-    sizes = spark.read.option("lineSep", "\n").text(matrix).where("value not like '%\\%%'").limit(1)
-    size = sizes.select(F.split("value", " ").alias("s")).select(*[F.col("s")[k].cast("double").alias(f"_{k}") for k in range(3)])
-    body = lines.join(F.broadcast(size), (F.col("i") == F.col("_0")) & (F.col("j") == F.col("_1")) & (F.col("x") == F.col("_2")), "left_anti")  # one row
+    lines = spark.read.text(matrix).where("not startswith(value, '%') and trim(value) <> ''").withColumn("_m", F.monotonically_increasing_id())
+    # the first line that is no comment holds the sizes; it is known by its place, as an entry may equal it
+    first = lines.agg(F.min("_m").alias("_first"))
+    part = F.split(F.trim("value"), r"\s+")
+    body = lines.join(F.broadcast(first)).where("_m > _first").select(part[0].cast("long").alias("i"), part[1].cast("long").alias("j"), part[2].cast("double").alias("x"))  # one row
     name = lambda path, col: _numbered(spark, path).select(F.col("n"), F.split("value", "\t")[0].alias(col))
     out = body.join(name(features, "feature"), F.col("i") == F.col("n")).drop("n").join(name(barcodes, "cell"), F.col("j") == F.col("n"))
     return out.select(F.lit(sample).alias("sample"), "cell", "feature", "x")
@@ -64,7 +64,7 @@ def read_align_blocks(spark: SparkSession, path: str) -> DataFrame:
     """
     rec = spark.read.option("lineSep", "\n\n").text(path).where("trim(value) like 'chain%'").select(F.split(F.trim("value"), "\n").alias("l"))
     h = F.split(F.col("l")[0], r"\s+")
-    rows = rec.select(*[h[i].alias(n) for i, n in ((2, "src_chrom"), (5, "t0"), (7, "dst_chrom"), (8, "q_size"), (9, "dst_strand"), (10, "q0"), (12, "chain"))], F.posexplode(F.slice("l", 2, 1_000_000_000)).alias("k", "line"))
+    rows = rec.select(*[h[i].alias(n) for i, n in ((2, "src_chrom"), (5, "t0"), (7, "dst_chrom"), (8, "q_size"), (9, "dst_strand"), (10, "q0"), (12, "chain"))], F.posexplode(F.slice(F.col("l"), F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("k", "line"))
     f = F.split(F.trim("line"), r"\s+")
     g = lambda i: F.coalesce(F.get(f, F.lit(i)).cast("long"), F.lit(0))
     rows = rows.select("src_chrom", "dst_chrom", "dst_strand", F.col("chain").cast("long"), F.col("t0").cast("long"), F.col("q0").cast("long"), F.col("q_size").cast("long"), "k", g(0).alias("n"), g(1).alias("dt"), g(2).alias("dq"))
@@ -84,7 +84,7 @@ def read_track(spark: SparkSession, path: str) -> DataFrame:
 def read_pwm(spark: SparkSession, path: str) -> DataFrame:
     """Motif tables ('>name' and a line of four numbers per position): motif, pos, base, w."""
     rec = spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''").select(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("l"))
-    rows = rec.select(F.split(F.col("l")[0], r"\s")[0].alias("motif"), F.posexplode(F.slice("l", 2, 1_000_000)).alias("pos", "line"))
+    rows = rec.select(F.split(F.col("l")[0], r"\s")[0].alias("motif"), F.posexplode(F.slice(F.col("l"), F.lit(2), F.greatest(F.size("l") - 1, F.lit(0)))).alias("pos", "line"))
     return rows.select("motif", "pos", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("_b", "w")).select("motif", "pos", F.element_at(F.array(*map(F.lit, "ACGT")), F.col("_b") + 1).alias("base"), F.col("w").cast("double"))
 
 
