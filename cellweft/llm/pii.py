@@ -64,11 +64,13 @@ PERSONAL = {
 }
 LOOK_ALIKE = {
     "email": ("W [at] W", "W (at) 99", "W@W", "W@99", "W at W dot W"),
-    "ip": ("7.7.9.9", "9.9.7.9", "7 . 99 . 7 . 9", "7[.]9[.]7[.]9"),
+    "ip": ("7.7.9.9", "7.7.99.99", "9.9.7.9", "7 . 99 . 7 . 9", "7[.]9[.]7[.]9"),
     "card": ("4999.9999.9999.999N", "5999/9999/9999/999N", "9999.99.99.9999", "9999-9999-9999", "999_999_999"),
-    "phone": ("2099-99-99", "99/99/2099", "99.99.2099", "9999-9999", "99-99", "978-9-999-99999-9", "99 999", "999 999 999.99", "99.99", "99/999"),
+    "phone": ("2099-99-99", "99/99/2099", "99.99.2099", "7.7.99.99", "8.7.99.7", "9999-9999", "99-99", "978-9-999-99999-9", "99 999", "999 999 999.99", "99.99", "99/999"),
 }
 DOMAINS = ("com", "org", "net", "de", "fr", "io")
+#: Top-level domains that count as a sign of an address.
+KNOWN_DOMAINS = (*DOMAINS, "edu", "gov", "info", "biz", "eu", "uk", "us", "ch", "nl", "es", "it", "pl", "se", "jp", "cn", "in", "br", "ru")
 #: Words that may stand before a planted form.
 HINTS = {"email": ("mail", "e-mail:", "contact"), "ip": ("host", "ip:", "server"), "card": ("card", "card no.", "visa"), "phone": ("call", "tel:", "phone")}
 
@@ -215,6 +217,7 @@ def features(kind: Column, found: Column, before: Column, after: Column) -> dict
         "largest": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(found, F.lit("[0-9]{1,9}"), F.lit(0)), lambda g: g.cast("int"))), F.lit(0)).cast("double"),
         "first_group": F.char_length(F.regexp_extract(found, "[0-9]+", 0)).cast("double"),
         "last_group": F.char_length(F.regexp_extract(found, "([0-9]+)[^0-9]*$", 1)).cast("double"),
+        "domain": flag(found.rlike(rf"(?i)(?:\.|dot[\])}}]?\x20?)(?:{'|'.join(KNOWN_DOMAINS)})$")),
         "leading_zero": flag(found.rlike(r"^\(?0")),
         "year": flag(found.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])")),
         "luhn": flag(F.when(F.char_length(d).between(13, 19), luhn(d))),

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.llm import textvec as tv
@@ -22,7 +22,9 @@ from cellweft.llm.common import materialize, table
 
 NO_ID = 2**63 - 1  # stands for a null doc_id inside: later than all others
 #: Default sizes: a chunk has LEAST to MOST bytes, about LEAST + 2**BITS.
-BITS, LEAST, MOST = 6, 64, 384
+BITS, LEAST, MOST = 5, 32, 256
+#: Neighbouring repeats are removed if together they have this many bytes: more than one common phrase.
+LEAST_RUN = 80
 #: One 32-bit value per byte value; any fixed random-looking table will do.
 GEAR = (tv.mix64(np.arange(256, dtype=np.uint64) + np.uint64(977)) >> np.uint64(32)).astype(np.uint32)
 
@@ -85,13 +87,15 @@ def chunk(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MOS
     return own.mapInArrow(_emit(bits, least, most), "doc_id long, text_hash long, row long, start long, length long, digest binary")
 
 
-def substring_dedup(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
+def substring_dedup(docs: DataFrame, bits: int = BITS, least: int = LEAST, most: int = MOST, least_run: int = LEAST_RUN) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_bytes, n_chunks, n_repeats, n_removed, spans.
 
     A chunk is a repeat if an equal one stands earlier: by doc_id, then (rows of one
     doc_id) by a hash of the text, then place. Equal rows have no order, and any one of them
     keeps its chunks.
-    n_removed: bytes of its repeats; spans: their places as array of (start, length)
+    Repeats that follow on each other count if they have `least_run` bytes together, or are
+    the whole text; a shorter one is a phrase that ordinary texts share. n_removed: bytes
+    of the repeats that count; spans: their places as array of (start, length)
     in bytes of the UTF-8 text, neighbours apart.
 
     Chunks have `least` to `most` bytes (the last of a text may be shorter), about
@@ -104,12 +108,18 @@ def substring_dedup(docs: DataFrame, bits: int = BITS, least: int = LEAST, most:
     first = chunks.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash", "row", "start")).alias("first"))
     first = first.where("n > 1").select("digest", "first")
     repeats = chunks.select("digest", F.struct("doc_id", "text_hash", "row", "start").alias("own"), "length").join(first, "digest").where("own <> first")
-    per_row = repeats.groupBy(F.col("own.row").alias("row")).agg(F.count("*").alias("n_repeats"), F.sum("length").alias("n_removed"), F.sort_array(F.collect_list(F.struct("own.start", "length"))).alias("spans"))
+    own = repeats.select("own.row", "own.start", "length")
+    place = Window.partitionBy("row").orderBy("start")
+    apart = F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("length")).over(place), F.lit(-1))
+    own = own.withColumn("island", F.sum(apart.cast("int")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("long", F.sum("length").over(Window.partitionBy("row", "island")) >= least_run)
+    span, at = F.struct("start", "length"), lambda c: F.sort_array(F.collect_list(c))
+    per_row = own.groupBy("row").agg(F.sum("length").alias("bytes"), at(span).alias("every"), at(F.when(F.col("long"), span)).alias("some"))
     rows = chunks.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("length").alias("n_bytes"), F.count("digest").alias("n_chunks"))
-    out = rows.join(per_row, "row", "left")
     nothing = F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_chunks", zero("n_repeats"), zero("n_removed"), F.coalesce("spans", nothing).alias("spans"))
+    out = rows.join(per_row, "row", "left").withColumn("spans", F.coalesce(F.when(F.col("bytes") == F.col("n_bytes"), F.col("every")).otherwise(F.col("some")), nothing))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_chunks", F.size("spans").cast("long").alias("n_repeats"), removed.alias("n_removed"), "spans")
 
 
 def op1_substring_dedup(spark, sf_dir):
