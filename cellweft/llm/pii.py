@@ -153,11 +153,14 @@ def planted(docs: DataFrame, most: int, places: int = 4) -> DataFrame:
     """Rows order, text, kind, start, end, personal: forms set into contexts of the documents.
 
     Each document offers `places` places by hash; of all, the `most` with the smallest
-    hash are used, and only these short contexts are gathered, in one task.
+    hash are used. Hashes that are too large to be among them are left out before the texts are
+    cut, so that some 2 * `most` short contexts are gathered in one task, however many documents there are.
     """
+    share = min(1.0, 2.0 * most / max(docs.count() * places, 1))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     seed = F.xxhash64(F.col("doc_id").cast("string"), F.char_length(text), "_place")
-    spot = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(places))).alias("_place")).select(seed.alias("order"), F.substring(text, (F.pmod(seed, F.greatest(F.char_length(text) - 80, F.lit(1))) + 1).cast("int"), F.lit(80)).alias("near"))
+    spot = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(places))).alias("_place"))
+    spot = spot.where(seed <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1)).select(seed.alias("order"), F.substring(text, (F.pmod(seed, F.greatest(F.char_length(text) - 80, F.lit(1))) + 1).cast("int"), F.lit(80)).alias("near"))
     spot = spot.orderBy("order", "near").limit(most)
     pick = lambda n, salt: F.pmod(F.xxhash64("order", F.lit(salt)), n).cast("int")
     one_of = lambda xs, salt: F.element_at(F.array(*[F.lit(x) for x in xs]), pick(F.lit(len(xs)), salt) + 1)
