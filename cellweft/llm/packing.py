@@ -164,7 +164,7 @@ class OpenBins:
         return b
 
 
-def pack(pieces: DataFrame, most: int = 2048, open_bins: int = 4096, block: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, most: int = 2048, open_bins: int = 4096, block: int = 4096, deal: bool = True) -> DataFrame:
     """Adds sequence_id and offset to pieces (length and any others; columns of these two names are replaced).
 
     Pieces of `most` tokens are sequences by themselves and are not shuffled. The rest
@@ -172,6 +172,10 @@ def pack(pieces: DataFrame, most: int = 2048, open_bins: int = 4096, block: int
     in one. A task takes its rows in an order by hash, in blocks of `block` pieces, the
     long ones of a block first, and packs them with `open_bins` open sequences, which
     stay open from block to block. Empty table: empty.
+
+    `deal=False` packs each partition as it stands, full pieces among the others, in one
+    pass and without a shuffle: for wide pieces (ids) whose partitions are in no order of
+    length. What is open at the end of a partition, `open_bins` at most, stays unfilled.
     """
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     own = pieces.select(*names)
@@ -199,6 +203,8 @@ def pack(pieces: DataFrame, most: int = 2048, open_bins: int = 4096, block: int
                 held = []
         yield from placed(held)
 
+    if not deal:
+        return own.mapInArrow(run, schema)
     order = F.xxhash64(*[c for c in ("doc_id", "piece", "start", "length", "ids_crc32") if c in names])
     rest = own.where(F.col("length") < most).hint("rebalance").withColumn("_cw_order", order).sortWithinPartitions("_cw_order", "length").select(*names)
     full = own.where(F.col("length") >= most).select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

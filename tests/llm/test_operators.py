@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -207,6 +208,17 @@ def test_equal_rows_and_null_ids_are_spread(spark, empty, clashing):
     assert sorted((r.doc_id, r.piece, r._extra) for r in packing.pack(own).collect()) == [(1, 0, "z"), (2, 0, "z")]
 
 
+def test_packing_without_a_shuffle_places_the_same_pieces(docs, empty):
+    pieces = packing.tokenise_pieces(docs, packing.vocabulary_path())
+    key = ["doc_id", "piece", "length", "ids_crc32"]
+    dealt, still = (packing.pack(pieces, deal=x).select(*key, "sequence_id", "offset").fillna(-1, ["doc_id"]).toPandas() for x in (True, False))
+    assert Counter(dealt[key].itertuples(index=False, name=None)) == Counter(still[key].itertuples(index=False, name=None))
+    for _, rows in still.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert rows["length"].sum() <= 2048
+        assert rows["offset"].tolist() == [0, *rows["length"].cumsum().tolist()[:-1]]
+    assert packing.pack(packing.tokenise_pieces(empty, packing.vocabulary_path()), deal=False).count() == 0
+
+
 def test_pieces_keep_ids(docs):
     rows = packing.tokenise_pieces(docs.limit(20), packing.vocabulary_path()).collect()
     assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
