@@ -70,10 +70,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of all documents, with their token ids, placed in sequences of at most 2048 tokens.
 
     Null and empty texts are one end mark; repeated rows are documents each. Empty
-    table: empty. Columns other than doc_id and text are not carried into the pieces.
+    table: empty. Columns other than doc_id and text are not carried into the pieces. The documents, which
+    mixing leaves in order of size, are dealt evenly to tasks; their pieces, wide with ids, are packed where they are made.
     """
-    pieces = packing.tokenise_pieces(docs, packing.vocabulary_path())
-    return packing.pack(materialize(pieces, "pieces"))
+    dealt = docs.select("doc_id", "text").hint("rebalance")
+    return packing.pack(packing.tokenise_pieces(dealt, packing.vocabulary_path()), deal=False)
 
 
 STAGES = [
