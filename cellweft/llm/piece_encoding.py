@@ -7,9 +7,8 @@ folded, marked and prefixed as the model asks, in the same two arrays. The norma
 is then cut into pieces, and the bounds of each piece are read from that alignment.
 
 Pieces of a BPE vocabulary in which the space mark stands only in front never cross
-from a word to the mark after it. So a text is segmented word by word, and words are kept
-in a bounded cache; the segmentation of a word is the library's, with its normaliser
-switched off.
+from a word to the mark after it. So a long text is segmented in windows that end before a
+mark. The segmentation of a window is the library's, with its normaliser switched off.
 """
 
 from __future__ import annotations
@@ -30,9 +29,7 @@ from cellweft.llm.common import table
 
 SPACE = "▁"  # the mark that stands for a space
 _MARK = SPACE.encode()
-WINDOW = 1 << 20  # normalised characters that are segmented at once
-CACHED = 1 << 18  # words kept by a worker, each of at most
-LONGEST_CACHED = 64  # characters
+WINDOW = 1 << 16  # normalised characters that are segmented at once
 
 
 class CharMap:
@@ -108,11 +105,13 @@ class PieceEncoder:
         self.unknown = self.plain.unk_id()
         self.mark = self.plain.piece_to_id(SPACE)
         self.decimal = [str(i) for i in range(len(model.pieces))]
-        # whether words can be segmented apart: no piece goes from another character on to a mark
+        # where windows may end: no piece goes from another character on to a mark
         normal = (p.piece for p in model.pieces if p.type in (kinds.NORMAL, kinds.UNUSED))
         apart = model.trainer_spec.model_type == proto.TrainerSpec.BPE and self.mark != self.unknown
-        self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if apart and not any(SPACE in p.lstrip(SPACE) for p in normal) else None
-        self.cache: dict[str, list[int]] = {}
+        self.cut = re.compile(f"[^{SPACE}](?={SPACE})") if apart and not any(SPACE in p.lstrip(SPACE) for p in normal) else None
+        # what a piece decodes to wherever it stands: all but control and unknown ones, and bytes that are no character alone
+        self.surface = [chr(int(p.piece[3:5], 16)) if p.type == kinds.BYTE else p.piece.replace(SPACE, " ") for p in model.pieces]
+        self.other = {i for i, p in enumerate(model.pieces) if p.type not in (kinds.NORMAL, kinds.BYTE) or (p.type == kinds.BYTE and ord(self.surface[i]) > 0x7F)}
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """The normalised bytes, and for each (and the end) the original byte it came from."""
@@ -191,18 +190,7 @@ class PieceEncoder:
 
     def _segment(self, text: str) -> tuple[list[int], np.ndarray]:
         """Ids of a normalised text and the bytes that each piece takes of it."""
-        if self.words is None:
-            return self._with_unknown(text)
-        words, cache = self.words.findall(text), self.cache
-        new = [w for w in set(words) if w not in cache]
-        if len(cache) + len(new) > CACHED:
-            cache.clear()
-            new = list(set(words))
-        cache.update(zip(new, self.plain.encode(new, num_threads=1), strict=True))
-        ids = list(chain.from_iterable(map(cache.__getitem__, words)))
-        for w in new:
-            if len(w) > LONGEST_CACHED:
-                del cache[w]
+        ids = self.plain.encode(text)
         return self._with_unknown(text) if self.unknown in ids else (ids, self.width[ids])
 
     def _with_unknown(self, text: str) -> tuple[list[int], np.ndarray]:
@@ -211,12 +199,12 @@ class PieceEncoder:
         return [p.id for p in found], np.array([1 if p.id in self.byte else p.end - p.begin for p in found], np.int64)
 
     def windows(self, text: str) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Ids, starts and ends (original bytes) of the pieces, some million characters at a time."""
+        """Ids, starts and ends (original bytes) of the pieces, a window at a time."""
         norm, place = self.normalise(text)
         norm = norm.decode()
         at = done = 0
         while at < len(norm):
-            cut = re.compile(f"[^{SPACE}](?={SPACE})").search(norm, at + WINDOW) if self.words else None
+            cut = self.cut.search(norm, at + WINDOW) if self.cut else None
             part = norm[at : cut.end() if cut else len(norm)]
             ids, width = self._segment(part)
             bounds = done + np.concatenate([[0], np.cumsum(width)])
@@ -228,14 +216,22 @@ class PieceEncoder:
         found = list(self.windows(text))
         return tuple([list(chain.from_iterable(map(list, x))) for x in zip(*found, strict=True)] if found else ([], [], []))
 
+    def decode(self, ids: list[int], first: bool = True) -> str:
+        """The library's decoding; `first`: of the start of a text, where the prefix goes."""
+        if self.spec.add_dummy_prefix and not self.spec.remove_extra_whitespaces and self.other.isdisjoint(ids):
+            text = "".join(map(self.surface.__getitem__, ids))
+            if not first or text.startswith(" "):
+                return text[first:]
+        # a later window keeps its leading space: a mark in front takes the place of the prefix
+        return self.decoder.decode(ids if first else [self.mark, *ids])
+
     def digest(self, text: str) -> tuple[int, str, str, int]:
         """Number of ids, sha256 of the ids, of the decoded text, and bytes of the original in no piece."""
         n = missed = last = 0
         ids_hash, text_hash = hashlib.sha256(), hashlib.sha256()
         for ids, starts, ends in self.windows(text):
             ids_hash.update((("," if n else "") + ",".join(map(self.decimal.__getitem__, ids))).encode())
-            # a window after the first keeps its leading space: a mark in front takes the place of the prefix
-            text_hash.update(self.decoder.decode([self.mark, *ids] if n else ids).encode())
+            text_hash.update(self.decode(ids, first=not n).encode())
             missed += int(np.maximum(starts - np.concatenate([[last], ends[:-1]]), 0).sum())
             n, last = n + len(ids), int(ends[-1]) if len(ends) else last
         return n, ids_hash.hexdigest(), text_hash.hexdigest(), missed + len(text.encode()) - last
@@ -263,7 +259,7 @@ def encode_pieces(docs: DataFrame, path: str, into: str = "pieces") -> DataFrame
 
     Starts and ends are bytes of the UTF-8 text, end exclusive; white space that
     normalisation drops lies in no piece. Null or empty text: no ids, empty decoded text.
-    Texts of any length are segmented in windows of about a million characters; a text's own
+    Texts of any length are segmented in windows of 65,536 characters; a text's own
     arrays must fit a row. Repeated rows each give a row; an empty table gives an empty one.
     Other columns, whatever their names, stay; one named `into` is replaced.
     """
@@ -271,7 +267,7 @@ def encode_pieces(docs: DataFrame, path: str, into: str = "pieces") -> DataFrame
     def one(texts: pd.Series) -> pd.DataFrame:
         tool = encoder(_path(path))
         rows = [tool.encode(t or "") for t in texts]
-        return pd.DataFrame({"ids": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows], "decoded": [tool.decoder.decode(r[0]) for r in rows]})
+        return pd.DataFrame({"ids": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows], "decoded": [tool.decode(r[0]) for r in rows]})
 
     kind = "ids array<int>, starts array<long>, ends array<long>, decoded string"
     return docs.withColumn(into, F.pandas_udf(one, kind)("text"))

@@ -50,7 +50,6 @@ def test_odd_texts():
 
 def test_windows_change_nothing(monkeypatch):
     monkeypatch.setattr(piece_encoding, "WINDOW", 20)
-    monkeypatch.setattr(piece_encoding, "CACHED", 30)
     rng = random.Random(1)
     for text in ODD + ["".join(rng.choices(LETTERS, k=rng.randrange(200))) for _ in range(300)]:
         assert TOOL.digest(text)[:3] == digest(text)
