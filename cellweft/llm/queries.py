@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cellweft.llm import embed_dedup, filter_audit, hamming_topk, jaccard_join, mixing, packing, piece_encoding, pii, secret_scan, substring_dedup, suffix_dedup, toxicity
+from cellweft.llm import conversation_repair, embed_dedup, filter_audit, hamming_topk, jaccard_join, mixing, packing, piece_encoding, pii, secret_scan, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_jaccard": jaccard_join.op10_jaccard,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_piece_encoding": piece_encoding.op13_piece_encoding,
 }
 SQL = {"op4_mix": mixing.SQL_OP4, "op7_hamming_topk": hamming_topk.SQL_OP7, "op11_filter_audit": filter_audit.SQL_OP11}
