@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+_STEP = 0xD6E8FEB86659FD93
 _POW: dict[str, np.ndarray] = {}
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -70,10 +72,30 @@ def words(buf: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     before = np.concatenate([[False], inside[:-1]]) & ~first[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~first[1:]
     s, e = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    p = prefix_hash(buf)
-    _, down = powers(len(buf))
-    h = mix64((p[e] - p[s]) * down[s] + (e - s).astype(np.uint64))
-    return h, np.searchsorted(offsets, s, side="right") - 1
+    return span_hash(buf, s, e), np.searchsorted(offsets, s, side="right") - 1
+
+
+def span_hash(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hash of each buf[s:e].
+
+    Eight bytes at a time go through a bijection of 64 bits, so spans of up to eight bytes
+    and one length never collide, and no family of longer ones is known to, as there is for
+    polynomials modulo 2**64. Spans of over 256 bytes are hashed one by one.
+    """
+    size = e - s
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at = np.ndarray(len(buf) + 1, "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    h = mix64(size.astype(np.uint64) * np.uint64(_BASE))
+    open_ = np.flatnonzero(size <= 256)
+    for k in range(0, 256, 8):
+        open_ = open_[size[open_] > k]
+        if not len(open_):
+            break
+        cut = (8 * np.maximum(8 - size[open_] + k, 0)).astype(np.uint64)  # bits that belong to what comes after
+        h[open_] = mix64(h[open_] ^ ((at[s[open_] + k] << cut) >> cut)) * np.uint64(_STEP)
+    for i in np.flatnonzero(size > 256):
+        h[i] = int.from_bytes(hashlib.blake2b(buf[s[i] : e[i]].data, digest_size=8).digest(), "little")
+    return mix64(h)
 
 
 def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +105,6 @@ def ngrams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     m = len(h) - n + 1
     out = h[:m].copy()
     for i in range(1, n):
-        out = out * np.uint64(0xD6E8FEB86659FD93) + h[i : i + m]
+        out = out * np.uint64(_STEP) + h[i : i + m]
     same = doc[:m] == doc[n - 1 :]
     return mix64(out[same]), doc[:m][same]

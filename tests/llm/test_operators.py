@@ -27,6 +27,7 @@ from cellweft.llm import (  # noqa: E402
     suffix_dedup,
     toxicity,
 )
+from cellweft.llm import textvec as tv  # noqa: E402
 from cellweft.llm.common import table  # noqa: E402
 from cellweft.llm.graph import connected_components  # noqa: E402
 from cellweft.llm.queries import QUERIES, SQL  # noqa: E402
@@ -633,6 +634,23 @@ def test_jaccard_join(spark, docs, local, empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def test_word_hash_has_no_collisions_by_construction(spark):
+    """Thue-Morse words collide under every polynomial modulo 2**64; short and long words, and all lengths between, do not here."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word[:250]), (4, other[:250]), (5, word + " x"), (6, word)], SCHEMA)
+    got = {r.doc_id: (r.n_links, r.component_id) for r in jaccard_join.jaccard_join(docs).collect()}
+    assert got == {1: (1, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (1, 1)}
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 99, n).tolist()) for n in range(1, 300) for _ in range(20)]
+    buf, offsets = tv.joined(texts + texts)
+    h = tv.span_hash(buf, offsets[:-1], offsets[1:])
+    assert (h[: len(texts)] == h[len(texts) :]).all()
+    assert len(set(h.tolist())) == len(set(texts))
+
+
 def test_paths_keep_pairs_over_many_splits(spark):
     """Pairs at 0.8 in buckets that must be split again and again."""
     rng = np.random.default_rng(5)
