@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.spectral import block_sum, leading_vectors
 from cellweft.operators.tables import materialize
 
 
@@ -37,27 +38,35 @@ def pca(x: DataFrame, features: DataFrame, k: int) -> DataFrame:
     return PCA(k=min(k, n), inputCol="features", outputCol="pc").fit(data).transform(data).select("cell", vector_to_array("pc").alias("vec"))
 
 
-def lsi(x: DataFrame, features: DataFrame, k: int) -> tuple[DataFrame, list[float]]:
-    """Truncated singular value decomposition of the sparse table over selected features: scores cell, vec and the singular values.
+def lsi(x: DataFrame, k: int, features: DataFrame | None = None, tolerance: float = 1e-7) -> tuple[DataFrame, DataFrame, list[float]]:
+    """Truncated singular value decomposition of the sparse table x (cell, feature, x), missing rows being zeros.
 
-    The features' products are summed in Spark; only that square table (of the
-    selection's size) reaches the driver, and scores are one more join. The sign of a
-    component makes its largest loading positive.
+    Returns scores (cell, vec: left vectors times singular values), loadings (feature, vec: right vectors)
+    and the singular values, largest first; `features` (feature) restricts the table.
+    Blocks of k + 4 values per feature are multiplied by the table and its transpose, two joins each
+    time; no table of features by features exists, and only the blocks' small
+    inner products reach the driver. The leading vectors of the scaled square of the table are
+    refined until their residuals are at most `tolerance`, else an error is raised. Repeated
+    (cell, feature) rows add up. There are fewer vectors where the table's rank is lower.
     """
-    number = features.select("feature").distinct().withColumn("_i", F.row_number().over(Window.orderBy("feature")) - 1)
-    own = materialize(x.join(number, "feature").select("cell", "_i", "x"), "lsi")
-    n = number.count()
-    if n > 5000:
-        raise ValueError(f"{n} features are too many for a square table on the driver; select 5000 at most")
-    other = own.select("cell", F.col("_i").alias("_j"), F.col("x").alias("_y"))
-    gram = np.zeros((n, n))
-    for r in own.join(other, "cell").where("_i <= _j").groupBy("_i", "_j").agg(F.sum(F.col("x") * F.col("_y")).alias("g")).collect():  # at most n * (n + 1) / 2 rows
-        gram[r["_i"], r["_j"]] = gram[r["_j"], r["_i"]] = r["g"]
-    values, vectors = np.linalg.eigh(gram)
-    order = np.argsort(-values)[:k]
-    v = vectors[:, order]
-    v = v * np.sign(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])])
-    loads = F.array(*[F.array(*[F.lit(float(c)) for c in row]) for row in v]) if n else F.expr("cast(array() as array<array<double>>)")
-    score = own.withColumn("_l", F.element_at(loads, (F.col("_i") + 1).cast("int")))
-    sums = [F.sum(F.col("x") * F.col("_l")[c]) for c in range(len(order))]
-    return score.groupBy("cell").agg(F.array(*sums).alias("vec")), np.sqrt(np.maximum(values[order], 0)).tolist()
+    own = x.select("cell", "feature", "x").where("x <> 0")
+    if features is not None:
+        own = own.join(features.select("feature").distinct(), "feature", "left_semi")
+    own = materialize(own.groupBy("cell", "feature").agg(F.sum(F.col("x").cast("double")).alias("x")), "lsi")
+    # a bound of the largest eigenvalue of X'X: the largest sum of |X'| |X| along a row
+    reach = own.join(own.groupBy("cell").agg(F.sum(F.abs("x")).alias("_s")), "cell").groupBy("feature").agg(F.sum(F.abs("x") * F.col("_s")).alias("_r"))
+    bound = reach.agg(F.max("_r")).first()[0] or 1.0
+
+    def square(block: DataFrame, width: int) -> DataFrame:
+        """2 X'X / bound - 1, whose spectrum is in [-1, 1]."""
+        there = own.join(block.withColumnRenamed("id", "feature").withColumnRenamed("x", "_b"), "feature").groupBy("cell").agg(block_sum("_b", width, F.col("x")).alias("_b"))
+        back = own.join(there, "cell").groupBy(F.col("feature").alias("id")).agg(block_sum("_b", width, F.col("x") * (2.0 / bound)).alias("_y"))
+        return back.join(block, "id").select("id", F.zip_with("_y", "x", lambda y, z: y - z).alias("y"))
+
+    rows = own.select(F.col("feature").alias("id")).distinct().withColumn("w", F.lit(1.0))
+    found, values = leading_vectors(rows, square, k, tolerance=tolerance)
+    values = [float(np.sqrt(max((v + 1) / 2 * bound, 0.0))) for v in values]
+    kept = sum(v > 1e-6 * values[0] for v in values)
+    loads = materialize(found.select(F.col("id").alias("feature"), F.slice("v", 1, kept).alias("vec")), "loadings")
+    scores = own.join(loads, "feature").groupBy("cell").agg(block_sum("vec", kept, F.col("x")).alias("vec"))
+    return scores, loads, values[:kept]

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.spectral import block_sum, leading_vectors
 from cellweft.operators.tables import materialize
 
 
@@ -29,34 +30,27 @@ def pseudotime_geodesic(edges: DataFrame, roots: DataFrame, most_rounds: int = 1
     raise RuntimeError(f"distances not settled after {most_rounds} rounds")
 
 
-def pseudotime_diffusion(edges: DataFrame, root: int, m: int = 2, rounds: int = 30) -> DataFrame:
-    """Distance from the root in the m leading non-trivial vectors of the lazy random walk on the graph.
+def pseudotime_diffusion(edges: DataFrame, root: int, m: int = 2, tolerance: float = 1e-7) -> DataFrame:
+    """Distance from the root in the m leading non-trivial vectors of the random walk on the graph: cell, t.
 
-    Vectors by power iteration with removal of the trivial one and those found before
-    (in the walk's stationary inner product). Each round is one join, written once, and
-    one row of sums.
+    Edges count both ways and once. Vectors are of length one in the walk's stationary inner product
+    (weights are numbers of neighbours), in which the walk is symmetric; they are found by
+    block subspace iteration until their residuals are at most `tolerance`, and an
+    error is raised if they do not get there. No row if the root has no edge.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both.withColumn("_d", F.count("*").over(Window.partitionBy("a"))), "walk")
-    found = materialize(both.select(F.col("a").alias("cell"), F.col("_d").cast("double").alias("d")).distinct(), "walk-nodes")
-    names: list[str] = []
-    for v in range(m):
-        cur = found.withColumn("x", F.pmod(F.xxhash64("cell", F.lit(v)), F.lit(2000)) / 1000.0 - 1.0)
-        for _ in range(rounds):
-            walked = both.join(cur.select(F.col("cell").alias("b"), "x"), "b").groupBy(F.col("a").alias("cell")).agg((F.sum("x") / F.first("_d")).alias("_y"))
-            cur = materialize(cur.join(walked, "cell").withColumn("x", (F.col("x") + F.col("_y")) / 2).drop("_y"), "walk-vector")
-            along = lambda w: F.sum(F.col("d") * F.col("x") * w) / F.nullif(F.sum(F.col("d") * w * w), F.lit(0.0))
-            dots = cur.agg(*[F.coalesce(along(w), F.lit(0.0)) for w in (F.lit(1.0), *map(F.col, names))]).first()
-            x = F.col("x")
-            for p, w in zip(dots, (F.lit(1.0), *map(F.col, names)), strict=True):
-                x = x - F.lit(p) * w
-            length = cur.agg(F.sqrt(F.sum(F.col("d") * x * x))).first()[0] or 1.0
-            cur = cur.withColumn("x", x / F.lit(length))
-        found = materialize(cur.withColumnRenamed("x", f"v{v}"), "walk-found")
-        names.append(f"v{v}")
-    at = found.where(F.col("cell") == root).select(*[F.col(n).alias(f"_r{n}") for n in names])
-    out = found.join(F.broadcast(at))  # the root's row
-    return out.select("cell", F.sqrt(sum(((F.col(n) - F.col(f"_r{n}")) * (F.col(n) - F.col(f"_r{n}")) for n in names), F.lit(0.0))).alias("t"))
+    both = edges.select("a", "b").where("a <> b")
+    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    degree = materialize(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("w")), "walk-nodes")
+    both = materialize(both.join(degree.select(F.col("id").alias("a"), "w"), "a"), "walk")
+
+    def walk(block: DataFrame, width: int) -> DataFrame:
+        met = both.join(block.withColumnRenamed("id", "b"), "b")
+        return met.groupBy(F.col("a").alias("id")).agg(block_sum("x", width, 1.0 / F.col("w")).alias("y"))
+
+    found, _ = leading_vectors(degree, walk, m, tolerance=tolerance, without_constant=True)
+    at = found.where(F.col("id") == root).select(F.col("v").alias("_root"))
+    square = F.aggregate(F.zip_with("v", "_root", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    return found.join(F.broadcast(at)).select(F.col("id").alias("cell"), F.sqrt(square).alias("t"))  # the root's row
 
 
 def cyclic_phase(emb: DataFrame, i: int, j: int) -> DataFrame:

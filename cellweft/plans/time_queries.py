@@ -36,7 +36,7 @@ def t1(spark, d):
 
 @_add("t2_diffusion")
 def t2(spark, d):
-    return T.pseudotime_diffusion(_knn(spark, d), 0, rounds=10).withColumn("t", r("t"))
+    return T.pseudotime_diffusion(_knn(spark, d), 0).withColumn("t", r("t"))
 
 
 _PHASE = "ph as (select cell, sample, fmod(atan2(vec[2]::double, vec[1]::double) + 2 * pi(), 2 * pi()) phase from m_emb)"
