@@ -23,7 +23,7 @@ from collections.abc import Callable
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.llm.common import materialize, table
@@ -51,7 +51,7 @@ _DIGIT = r"[0-9]"
 #: A text without a match of this has neither base spans nor candidates of the kind.
 NEEDS = {"email": r"@|\uFF20|[\[({](?:at|AT)[\])}]|\x20at\x20[^\s]++\x20?(?:dot\x20|[\[({](?:dot|DOT|\.)[\])}])", "ip": _DIGIT, "card": _DIGIT, "phone": _DIGIT}
 CONTEXT = 24
-SPAN = "array<struct<start:int,end:int,found:string>>"
+SPAN = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
 
 #: Forms to plant. 9 is any digit, 8 a number up to 255, 7 one from 256 to
 #: 999, W a word of the context, T a top-level domain, L the digit that makes a card
@@ -75,24 +75,58 @@ KNOWN_DOMAINS = (*DOMAINS, "edu", "gov", "info", "biz", "eu", "uk", "us", "ch",
 HINTS = {"email": ("mail", "e-mail:", "contact"), "ip": ("host", "ip:", "server"), "card": ("card", "card no.", "visa"), "phone": ("call", "tel:", "phone")}
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each element of an array of int the combination (a sum, a maximum) of 0 and those before it.
+
+    An aggregate that appends copies its array at each step. So runs of about the square root of
+    the length are accumulated alone, then the runs' totals, and both are put together.
+    """
+
+    def collected(xs: Column, of: Callable[[Column], Column]) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("before"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct(combine(acc["at"], of(x)).alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before")))
+
+    def blocks(size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(values), F.lit(1)), size)
+        return let(F.transform(starts, lambda i: collected(F.slice(values, i, size), lambda x: x)), lambda done: F.flatten(F.zip_with(done, collected(done, lambda d: d["at"])["before"], lambda d, at: F.transform(d["before"], lambda v: combine(at, v)))))
+
+    return let(F.greatest(F.ceil(F.sqrt(F.size(values))), F.lit(16)).cast("int"), blocks)
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return (a + b).cast("int")
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """Start, end (code points, end exclusive) and text of each match, left to right.
+    """Start, end (code points, end exclusive), text and context of each match, left to right.
 
     The pieces between matches and the matches alternate, so places are running
-    sums of their lengths.
+    sums of their lengths, and the context before or after a match is the piece there, with
+    the match beyond it if there is room (`CONTEXT` characters in all).
     """
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(a.alias("gap"), b.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+    size = lambda p: F.char_length(p["gap"]) + F.coalesce(F.char_length(p["found"]), F.lit(0))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["found"])
-        one = F.array(F.struct(begin.alias("start"), end.alias("end"), x["found"].alias("found")))
-        return F.when(x["found"].isNull(), F.struct(begin.alias("at"), acc["spans"].alias("spans"))).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], one).alias("spans")))
+    def placed(pairs: Column) -> Column:
+        def one(p: Column, i: Column, begin: Column) -> Column:
+            before = F.concat(F.coalesce(F.get(pairs, i - 1)["found"], F.lit("")), p["gap"])
+            after = F.concat(F.coalesce(F.get(pairs, i + 1)["gap"], F.lit("")), F.coalesce(F.get(pairs, i + 1)["found"], F.lit("")))
+            start = begin + F.char_length(p["gap"])
+            return F.struct(
+                start.alias("start"), (start + F.char_length(p["found"])).alias("end"), p["found"].alias("found"),
+                F.right(before, F.lit(CONTEXT)).alias("before"), F.left(after, F.lit(CONTEXT)).alias("after"),
+            )
 
+        begins = running(F.transform(pairs, size), _plus)
+        return let(begins, lambda at: F.transform(F.filter(pairs, lambda p: p["found"].isNotNull()), lambda p, i: one(p, i, F.get(at, i))))
+
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda a, b: F.struct(a.alias("gap"), b.alias("found")))
     none = F.expr(f"cast(array() as {SPAN})")
-    found = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(text.rlike(pattern), let(pairs, placed)).otherwise(none)
 
 
 def digits(found: Column) -> Column:
@@ -137,16 +171,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 def candidates(rows: DataFrame) -> Column:
     """Array of (kind, start, end, found, before, after) of the candidates of rows from with_spans."""
-    wide = F.flatten(F.array(*[F.transform(f"_cw_wide_{k}", _tagged(k, "found")) for k in KINDS]))
-    first = lambda s: F.greatest(s["start"] - CONTEXT, F.lit(0))
-    return F.transform(
-        wide,
-        lambda s: F.struct(
-            *[s[x].alias(x) for x in ("kind", "start", "end", "found")],
-            F.substring(F.col("_cw_text"), first(s) + 1, s["start"] - first(s)).alias("before"),
-            F.substring(F.col("_cw_text"), s["end"] + 1, F.lit(CONTEXT)).alias("after"),
-        ),
-    )
+    return F.flatten(F.array(*[F.transform(f"_cw_wide_{k}", _tagged(k, "found", "before", "after")) for k in KINDS]))
 
 
 def planted(docs: DataFrame, most: int, places: int = 4) -> DataFrame:
@@ -282,7 +307,7 @@ def find_pii(docs: DataFrame, max_candidates: int = 20_000, precision: float = 0
     It holds the base spans and those that the trees add (base false, and crossing no base
     span). Null text: empty, nothing found. Each row stands for itself, so doc_id may be
     null or repeat, and equal rows get equal spans. Empty table: empty. Texts of any length are read
-    whole, a row at a time. A column of `docs` named as `into` is replaced; names that
+    whole, a row at a time, in a time that grows with the text and its matches. A column of `docs` named as `into` is replaced; names that
     begin with _cw_ are taken. `keep`: the columns to carry along, if not all.
     """
     rows = with_spans(docs.drop(into))
@@ -295,9 +320,7 @@ def find_pii(docs: DataFrame, max_candidates: int = 20_000, precision: float = 0
     if fitted is None:
         return kept.select(*names, own.alias(into))
     model, limits = fitted
-    # a candidate that a base span crosses is known already
-    free = F.filter("_cw_near", lambda c: ~F.exists("_cw_base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    found = kept.where(F.size("_cw_near") > 0).select(F.col("_cw_row").alias("row"), F.explode(free).alias("c"))
+    found = uncrossed(kept.where(F.size("_cw_near") > 0))
     f = features(F.col("c.kind"), F.col("c.found"), F.col("c.before"), F.col("c.after"))
     found = found.select("row", "c.kind", "c.start", "c.end", *[x.alias(k) for k, x in f.items()])
     limit = F.coalesce(*[F.when(F.col("kind") == k, F.lit(x)) for k, x in limits.items()])
@@ -307,23 +330,57 @@ def find_pii(docs: DataFrame, max_candidates: int = 20_000, precision: float = 0
     return kept.join(added, "_cw_row", "left").select(*names, F.concat(own, F.coalesce("_cw_added", none)).alias(into))
 
 
+def uncrossed(kept: DataFrame) -> DataFrame:
+    """Rows row, c of the candidates that no base span of their text crosses; those that one does are known already.
+
+    Spans of a text that has both are sorted by their start: a candidate is crossed if a base
+    span before it ends beyond its start, or the next one begins before its end.
+    """
+    none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
+    alone = kept.where(F.size("_cw_base") == 0).select(F.col("_cw_row").alias("row"), F.explode("_cw_near").alias("c"))
+    both = kept.where(F.size("_cw_base") > 0)
+    near = both.select(F.col("_cw_row").alias("row"), F.explode("_cw_near").alias("c")).select("row", "c", F.col("c.start").alias("start"), F.col("c.end").alias("end"))
+    base = both.select(F.col("_cw_row").alias("row"), F.explode(F.coalesce("_cw_base", none)).alias("b")).select("row", F.col("b.start").alias("start"), F.col("b.end").alias("end"))
+    placed = near.unionByName(base, allowMissingColumns=True)
+    is_base = F.col("c").isNull()
+    order = Window.partitionBy("row").orderBy("start", F.when(is_base, 0).otherwise(1), "end")
+    reach = F.max(F.when(is_base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.first(F.when(is_base, F.col("start")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    free = (F.coalesce(reach, F.lit(0)) <= F.col("start")) & (following.isNull() | (following >= F.col("end")))
+    return alone.unionByName(placed.withColumn("_free", free).where(F.col("_free") & F.col("c").isNotNull()).select("row", "c"))
+
+
+def without_spans(text: Column, found: Column, size: int = 8192) -> Column:
+    """`text` with each span (kind, start, end) of the array `found` replaced by its kind in brackets; spans that cross go together, under the kind of the first.
+
+    Pieces are cut out of stretches of `size` characters, as finding a place in a text costs what is before it.
+    """
+    order = F.array_sort(F.transform(found, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    stretches = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.char_length(text) - 1, F.lit(0)) / size).cast("int")), lambda k: F.substring(text, k * size + 1, F.lit(size)))
+
+    def piece(cut: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / size).cast("int"), F.floor(F.greatest(end - 1, start) / size).cast("int")
+        parts = F.transform(F.sequence(first, last), lambda k: F.substring(F.coalesce(F.get(cut, k), F.lit("")), F.greatest(start - k * size, F.lit(0)) + 1, F.least(end - k * size, F.lit(size)) - F.greatest(start - k * size, F.lit(0))))
+        return F.when(end > start, F.array_join(parts, "")).otherwise("")
+
+    def done(spans_: Column, cut: Column) -> Column:
+        ends = F.transform(spans_, lambda s: -s["back"])
+        # the furthest end before each span: where it begins before that, it goes with an earlier one
+        pieces = let(running(ends, F.greatest), lambda reach: F.transform(spans_, lambda s, i: F.when(s["start"] >= F.get(reach, i), F.concat(piece(cut, F.get(reach, i), s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")))
+        return F.concat(F.array_join(pieces, ""), piece(cut, F.array_max(ends), F.char_length(text)))
+
+    return let(order, lambda spans_: let(stretches, lambda cut: done(spans_, cut)))
+
+
 def redact(docs: DataFrame, **options) -> DataFrame:
     """`docs` with each found span of the text replaced by its kind in brackets.
 
     Spans that cross are replaced together, under the kind of the first. Null texts
-    stay null; all other columns, whatever their names, stay as they are.
+    stay null; all other columns, whatever their names, stay as they are. Time grows with
+    the text and its spans also in very long texts full of numbers.
     """
     out = find_pii(docs, into="_cw_found", **options)
-    order = F.array_sort(F.transform("_cw_found", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        more = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.when(s["start"] >= acc["at"], F.struct(end.alias("at"), more.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], end).alias("at"), acc["out"].alias("out")))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length(F.col("text")))))
-    return out.withColumn("text", F.when(F.size("_cw_found") > 0, cleaned).otherwise(F.col("text"))).drop("_cw_found")
+    return out.withColumn("text", F.when(F.size("_cw_found") > 0, without_spans(F.col("text"), F.col("_cw_found"))).otherwise(F.col("text"))).drop("_cw_found")
 
 
 def _is(kind: str) -> Callable[[Column], Column]:

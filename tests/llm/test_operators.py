@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 pytest.importorskip("cellweft.llm")
 
@@ -394,6 +395,64 @@ def test_pii_adds_planted_forms(spark, sf_dir):
     assert good >= 0.8 * personal
 
 
+def test_pii_of_a_text_full_of_numbers(spark):
+    """Time grows with the number of matches and not with its square; spans and redaction stay right."""
+    import time
+
+    def numbers(n):
+        return " ".join(f"{i % 900 + 100}-{i % 800 + 200}-{i % 9000 + 1000} 10.0.{i % 256}.1" for i in range(n // 2))
+
+    took = {}
+    for n in (4_000, 4_000, 40_000):
+        text = numbers(n)
+        docs = spark.createDataFrame([(1, text)], SCHEMA)
+        began = time.time()
+        rows = pii.with_spans(docs).select("_cw_base_ip", pii.candidates(pii.with_spans(docs)).alias("near")).collect()[0]
+        took[n] = time.time() - began
+        want = [(m.start(), m.end()) for m in re.finditer(PATTERNS["ip"], text)]
+        assert [(s.start, s.end) for s in rows._cw_base_ip] == want
+        assert all(text[c.start : c.end] == c.found and text[: c.start].endswith(c.before) and text[c.end :].startswith(c.after) for c in rows.near)
+        found = [{"kind": "ip", "start": s, "end": e} for s, e in want] + [{"kind": "phone", "start": 0, "end": 14}]
+        df = spark.createDataFrame([(text, found)], "text string, found array<struct<kind:string,start:int,end:int>>")
+        began = time.time()
+        done = df.select(pii.without_spans(F.col("text"), F.col("found")).alias("x")).first().x
+        took[n] += time.time() - began
+        assert done == re.sub(PATTERNS["ip"], "[ip]", "[phone]" + text[12:].replace(" 10.0.0.1", "", 1))
+    print(took)
+    assert took[40_000] < 20 * took[4_000] + 5
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9), st.sampled_from("xy")), max_size=8), st.text(min_size=50, max_size=60))
+def test_without_spans_is_the_plain_walk(spark, found, text):
+    at, want = 0, ""
+    for start, end, kind in sorted(((s, s + n, k) for s, n, k in found), key=lambda f: (f[0], -f[1], f[2])):
+        if start >= at:
+            want += text[at:start] + f"[{kind}]"
+        at = max(at, end)
+    rows = [{"kind": k, "start": s, "end": s + n} for s, n, k in found]
+    df = spark.createDataFrame([(text, rows)], "text string, found array<struct<kind:string,start:int,end:int>>")
+    for size in (7, 8192):
+        assert df.select(F.when(F.size("found") > 0, pii.without_spans(F.col("text"), F.col("found"), size)).otherwise(F.col("text")).alias("x")).first().x == want + text[at:]
+
+
+def test_uncrossed(spark):
+    rng = np.random.default_rng(14)
+    span = lambda: (lambda s: {"kind": "k", "start": s, "end": s + int(rng.integers(1, 12))})(int(rng.integers(0, 60)))
+    rows = []
+    for i in range(40):
+        base, at = [], 0
+        for _ in range(int(rng.integers(0, 4))):
+            at += int(rng.integers(0, 12))
+            base.append({"kind": "k", "start": at, "end": at + 5})
+            at += 5
+        rows.append((i, base, [span() for _ in range(int(rng.integers(0, 6)))]))
+    kind = "array<struct<kind:string,start:int,end:int>>"
+    got = pii.uncrossed(spark.createDataFrame(rows, f"_cw_row long, _cw_base {kind}, _cw_near {kind}"))
+    want = [(i, c["start"], c["end"]) for i, base, near in rows for c in near if not any(b["start"] < c["end"] and c["start"] < b["end"] for b in base)]
+    assert sorted((r.row, r.c.start, r.c.end) for r in got.collect()) == sorted(want)
+
+
 def test_redact(spark, empty, clashing):
     rows = [(1, "mail a@b.co or 10.0.0.1 now"), (2, None), (3, ""), (4, "nothing")]
     got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, SCHEMA)).collect()}
