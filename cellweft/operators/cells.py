@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.running import running_totals
+from cellweft.operators.tables import materialize
+
 
 def cell_qc(counts: DataFrame, features: DataFrame | None = None) -> DataFrame:
     """Per cell: total, number of features, and share of the total in a set of features."""
@@ -107,18 +110,18 @@ def rank_markers(norm: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """Per group the k features of largest log fold change of means, with detection rate and rank-sum z.
 
     Ranks are mid-ranks over all cells; the cells without a row are one block of
-    ties at zero, added analytically. Stored values are taken to be positive.
+    ties at zero, added analytically. Stored values are taken to be positive. Ranks come from
+    counts of values and running sums over range partitions, so a feature that all cells have is many tasks.
     """
     size = groups.groupBy("grp").agg(F.count("*").alias("_m"))
     total = groups.agg(F.count("*").alias("_n"))
-    own = norm.join(groups, "cell")
-    by = Window.partitionBy("feature").orderBy("x")
-    at = F.rank().over(by) + (F.count("*").over(Window.partitionBy("feature", "x")) - 1) / 2.0
-    ranked = own.withColumn("_r", at)
-    full = ranked.groupBy("feature").agg(F.count("*").alias("_c"), F.sum("x").alias("_s"))
-    tied = ranked.groupBy("feature", "x").agg(F.count("*").alias("_t")).groupBy("feature").agg(F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("_ties"))
-    g = ranked.groupBy("feature", "grp").agg(F.count("*").alias("_k"), F.sum("x").alias("_gs"), F.sum("_r").alias("_gr"))
-    j = g.join(full, "feature").join(tied, "feature").join(size, "grp").join(F.broadcast(total))  # total is one row
+    # a row per feature, value and group; the mid-rank of a value follows from the number of lower ones
+    counts = materialize(norm.join(groups, "cell").groupBy("feature", "x", "grp").agg(F.count("*").alias("_k")), "values")
+    values = running_totals(counts.groupBy("feature", "x").agg(F.sum("_k").alias("_t")), ["feature"], ["x"], "_t", "_below")
+    values = materialize(values.withColumn("_r", F.col("_below") + (F.col("_t") + 1) / 2.0), "mid-ranks")
+    full = values.groupBy("feature").agg(F.sum("_t").alias("_c"), F.sum(F.col("_t") * F.col("x")).alias("_s"), F.sum(F.pow(F.col("_t").cast("double"), 3) - F.col("_t")).alias("_ties"))
+    g = counts.join(values, ["feature", "x"]).groupBy("feature", "grp").agg(F.sum("_k").alias("_k"), F.sum(F.col("_k") * F.col("x")).alias("_gs"), F.sum(F.col("_k") * F.col("_r")).alias("_gr"))
+    j = g.join(full, "feature").join(size, "grp").join(F.broadcast(total))  # total is one row
     zeros = F.col("_n") - F.col("_c")
     ranks = F.col("_gr") + F.col("_k") * zeros + (F.col("_m") - F.col("_k")) * (zeros + 1) / 2.0
     rest = F.col("_n") - F.col("_m")

@@ -6,25 +6,75 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor((end - 1) / width)))
+def _level(width: int) -> Column:
+    """The lowest level (bins of width * 4**level) at which an interval spans two bins at most."""
+    return F.greatest(F.ceil(F.log2((F.col("en") - F.col("st")) / width) / 2), F.lit(0)).cast("int")
 
 
-def interval_join(a: DataFrame, b: DataFrame, width: int = 2000) -> DataFrame:
+def _bins(own: list[int], other: list[int], width: int) -> Column:
+    """Array of (level, bin): an interval's bins at its own level and at those higher levels where the other side has intervals."""
+    if max(own, default=0) == max(other, default=0) == 0:
+        at = F.sequence(F.floor(F.col("st") / width), F.floor((F.col("en") - 1) / width))
+        return F.transform(at, lambda b: F.struct(F.lit(0).alias("level"), b.alias("bin")))
+    level = _level(width)
+
+    def at_level(lv: int) -> Column:
+        size = width << (2 * lv)
+        bins = F.transform(F.sequence(F.floor(F.col("st") / size), F.floor((F.col("en") - 1) / size)), lambda b: F.struct(F.lit(lv).alias("level"), b.alias("bin")))
+        here = (level == lv) | (level < lv) if lv in other else level == lv
+        return F.when(here, bins).otherwise(F.expr("cast(array() as array<struct<level:int,bin:bigint>>)"))
+
+    return F.flatten(F.array(*[at_level(lv) for lv in sorted({*own, *other})]))
+
+
+def binned(a: DataFrame, b: DataFrame, width: int, most: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """Both sides with columns _level, _bin, _s and _t: rows that may overlap share all four in exactly one place or, over a bin's edge, two.
+
+    A bin with over `most` rows of a side (or a ten-thousandth of all, so that such bins are few) is
+    hot: its rows are dealt to parts of that size by hash and repeated for each part of the
+    other side, so that a task gets `most` rows of each.
+    """
+    a, b = a.where("en > st"), b.where("en > st")
+    seen = a.select(F.lit(0).alias("side"), _level(width).alias("level")).unionByName(b.select(F.lit(1).alias("side"), _level(width).alias("level"))).groupBy("side", "level").count().collect()  # a row per level
+    levels = [sorted(r["level"] for r in seen if r["side"] == side) for side in (0, 1)]
+    total = [sum(r["count"] for r in seen if r["side"] == side) for side in (0, 1)]
+    cut = lambda df, own, other: df.withColumn("_at", F.explode(_bins(own, other, width))).withColumns({"_level": F.col("_at.level"), "_bin": F.col("_at.bin")}).drop("_at")
+    left, right = cut(a, *levels), cut(b, *reversed(levels))
+    limit = max(most, sum(total) // 10_000)
+    if max(total) <= limit:
+        return left.withColumns({"_s": F.lit(0), "_t": F.lit(0)}), right.withColumns({"_s": F.lit(0), "_t": F.lit(0)})
+    keys = ["chrom", "_level", "_bin"]
+    parts = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count("*") / limit).cast("int").alias(n))
+    hot = parts(left, "_ns").join(parts(right, "_nt"), keys).where("_ns > 1 or _nt > 1")
+    hot = F.broadcast(hot)  # some 10,000 bins per level at most
+    some = F.array(F.lit(0))
+    salt = lambda df, n: F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if not df.schema[c].dataType.simpleString().startswith("map")]), F.col(n)).cast("int"), F.lit(0))
+    every = lambda n: F.explode(F.coalesce(F.sequence(F.lit(0), F.col(n) - 1), some))
+    x, y = [df.join(hot, keys, "left").select(*df.columns, "_ns", "_nt") for df in (left, right)]
+    x = x.withColumn("_s", salt(left, "_ns")).withColumn("_t", every("_nt")).drop("_ns", "_nt")
+    y = y.withColumn("_t", salt(right, "_nt")).withColumn("_s", every("_ns")).drop("_ns", "_nt")
+    return x, y
+
+
+def interval_join(a: DataFrame, b: DataFrame, width: int = 2000, most: int = 20_000) -> DataFrame:
     """Pairs of overlapping intervals of the same chrom.
 
-    Both sides have chrom, st, en; the columns of `b` get the prefix b_. Intervals
-    are cut into bins of `width`, joined on (chrom, bin), and a pair is kept in the
-    bin where the later one starts, so that it comes once without a distinct.
-    Empty intervals (en <= st) overlap nothing.
+    Both sides have chrom, st, en; the columns of `b` get the prefix b_. Bins come in levels, each
+    four times as wide as the one below, and an interval has two bins at most at its own level; it
+    is also put in the bins above it, at levels where the other side has intervals. So a
+    pair meets at the level of the longer one, an interval of any length costs a bounded
+    number of rows, and a pair is kept in the bin where the later one starts, once,
+    without a distinct. Hot bins are split (`most`: rows of a side). Empty intervals (en <= st) overlap nothing.
     """
-    left = a.where("en > st").withColumn("_bin", _bins(F.col("st"), F.col("en"), width))
-    right = b.where("en > st").withColumn("_bin", _bins(F.col("st"), F.col("en"), width))
-    right = right.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], F.col("_bin").alias("b__bin"))
-    here = (F.col("chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("b__bin"))
+    left, right = binned(a, b, width, most)
+    left, right = left.withColumn("_own", _level(width)), right.withColumn("_own", _level(width))
+    right = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
+    here = (F.col("chrom") == F.col("b_chrom")) & (F.col("_bin") == F.col("b__bin")) & (F.col("_level") == F.col("b__level")) & (F.col("_s") == F.col("b__s")) & (F.col("_t") == F.col("b__t"))
     overlap = (F.col("st") < F.col("b_en")) & (F.col("b_st") < F.col("en"))
-    once = F.col("_bin") == F.floor(F.greatest("st", "b_st") / width)
-    return left.join(right, here & overlap & once).drop("_bin", "b__bin", "b_chrom")
+    size = F.lit(width).cast("long") * F.pow(F.lit(4.0), F.col("_level")).cast("long")
+    once = (F.col("_level") == F.greatest("_own", "b__own")) & (F.col("_bin") == F.floor(F.greatest("st", "b_st") / size))
+    hidden = ("_bin", "_level", "_own", "_s", "_t")
+    return left.join(right, here & overlap & once).drop(*hidden, *[f"b_{c}" for c in hidden], "b_chrom")
 
 
 def overlap_length() -> Column:

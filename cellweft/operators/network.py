@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.running import running_totals
 from cellweft.operators.tables import materialize
 
 
@@ -109,20 +110,28 @@ def centroid_correct(emb: DataFrame, k: int, rounds: int, seed: int = 3) -> Data
     return cur
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """Cell groups: each cell takes the commonest label around it (its own counts), the smallest on a tie."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+def label_propagation(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """Cell groups: labels such that no cell has neighbours with a commoner label than its own: cell, label.
+
+    A cell's own label counts as one vote. It changes only to a label with more votes, the
+    smallest of these, and in a round only half of the cells (by hash) may change, so
+    that neighbours do not swap for ever. An error is raised if labels still change after `most_rounds`.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = materialize(both.unionByName(both.select("a", F.col("a").alias("b")).distinct()), "label-edges")
     cur = both.select(F.col("a").alias("cell")).distinct().withColumn("label", F.col("cell"))
-    for _ in range(rounds):
-        votes = both.join(cur.withColumnRenamed("cell", "b"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy(F.col("a").alias("cell")).agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
-        nxt = materialize(best, "labels")
-        changed = nxt.join(cur.withColumnRenamed("label", "_was"), "cell").where("label <> _was").isEmpty()
-        cur = nxt
-        if changed:
-            break
-    return cur
+    for turn in range(most_rounds):
+        votes = both.join(cur.withColumnRenamed("cell", "b"), "b").groupBy(F.col("a").alias("cell"), "label").agg(F.count("*").alias("n"))
+        voted = votes.join(cur.withColumnRenamed("label", "_was"), "cell").groupBy("cell").agg(
+            F.first("_was").alias("_was"), F.max(F.when(F.col("label") == F.col("_was"), F.col("n"))).alias("_own"), F.max("n").alias("_most"), F.min_by("label", F.struct(-F.col("n"), "label")).alias("_best")
+        )
+        wants = F.col("_most") > F.col("_own")
+        turned = F.when(wants & (F.pmod(F.xxhash64("cell", F.lit(turn)), F.lit(2)) == 0), F.col("_best")).otherwise(F.col("_was"))
+        nxt = materialize(voted.select("cell", turned.alias("label"), wants.alias("_wants")), "labels")
+        if nxt.where("_wants").isEmpty():
+            return nxt.select("cell", "label")
+        cur = nxt.select("cell", "label")
+    raise RuntimeError(f"labels not settled after {most_rounds} rounds")
 
 
 def doublet_score(emb: DataFrame, pairs_per_cell: float = 0.5, k: int = 10) -> DataFrame:
@@ -139,17 +148,36 @@ def doublet_score(emb: DataFrame, pairs_per_cell: float = 0.5, k: int = 10) -> D
     return edges.groupBy(F.col("a").alias("cell")).agg(F.avg(F.when(F.col("b") < 0, 1.0).otherwise(0.0)).alias("score"))
 
 
+def link_products(x: DataFrame, y: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per pair (fx, fy) the sum of products over cells that store both: fx, fy, _sxy; no row where none does.
+
+    Made at the listed pairs: the stored values of a pair's sparser side are looked up in the other, so
+    rows are pairs times cells of the sparser side. Where all pairs that meet in a cell
+    are fewer rows than that, they are made instead. Both costs are known beforehand from counts.
+    """
+    xs = x.select(F.col("feature").alias("fx"), "cell", F.col("x").alias("_x"))
+    ys = y.select(F.col("feature").alias("fy"), "cell", F.col("x").alias("_y"))
+    nx, ny = xs.groupBy("fx").agg(F.count("*").alias("_nx")), ys.groupBy("fy").agg(F.count("*").alias("_ny"))
+    sized = materialize(pairs.select("fx", "fy").join(nx, "fx").join(ny, "fy"), "pairs")
+    at_pairs = sized.agg(F.sum(F.least("_nx", "_ny"))).first()[0] or 0
+    in_cells = xs.groupBy("cell").agg(F.count("*").alias("_a")).join(ys.groupBy("cell").agg(F.count("*").alias("_b")), "cell").agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    if in_cells <= at_pairs:
+        both = xs.join(ys, "cell")
+    else:
+        left = sized.where("_nx <= _ny").select("fx", "fy").join(xs, "fx").join(ys, ["fy", "cell"])
+        right = sized.where("_nx > _ny").select("fx", "fy").join(ys, "fy").join(xs, ["fx", "cell"])
+        both = left.select("fx", "fy", "_x", "_y").unionByName(right.select("fx", "fy", "_x", "_y"))
+    return both.groupBy("fx", "fy").agg(F.sum(F.col("_x") * F.col("_y")).alias("_sxy"))
+
+
 def link_corr(x: DataFrame, y: DataFrame, pairs: DataFrame, n: DataFrame) -> DataFrame:
     """Pearson correlation of features over cells for pairs (fx, fy); missing rows are zeros, n (one row, column n) the number of cells.
 
-    Sums over stored values only; null where either is constant.
+    Sums over stored values only; null where either is constant. A feature has one row per cell.
     """
     sx = x.groupBy(F.col("feature").alias("fx")).agg(F.sum("x").alias("_sx"), F.sum(F.col("x") * F.col("x")).alias("_sxx"))
     sy = y.groupBy(F.col("feature").alias("fy")).agg(F.sum("x").alias("_sy"), F.sum(F.col("x") * F.col("x")).alias("_syy"))
-    xs = x.select(F.col("feature").alias("fx"), "cell", F.col("x").alias("_x"))
-    ys = y.select(F.col("feature").alias("fy"), "cell", F.col("x").alias("_y"))
-    xy = xs.join(ys, "cell").groupBy("fx", "fy").agg(F.sum(F.col("_x") * F.col("_y")).alias("_sxy"))
-    j = pairs.join(sx, "fx").join(sy, "fy").join(xy, ["fx", "fy"], "left").join(F.broadcast(n))  # n is one row
+    j = pairs.join(sx, "fx").join(sy, "fy").join(link_products(x, y, pairs), ["fx", "fy"], "left").join(F.broadcast(n))  # n is one row
     top = F.col("n") * F.coalesce("_sxy", F.lit(0.0)) - F.col("_sx") * F.col("_sy")
     bottom = (F.col("n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")) * (F.col("n") * F.col("_syy") - F.col("_sy") * F.col("_sy"))
     return j.select("fx", "fy", (top / F.sqrt(F.when(bottom > 1e-9, bottom))).alias("corr"))
@@ -170,22 +198,40 @@ def bh_adjust(df: DataFrame, by: str) -> DataFrame:
     return df.withColumn("_raw", raw).withColumn("q", F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_raw")
 
 
-def null_corr(links: DataFrame, stats: DataFrame, draws: int, strata: int = 10) -> DataFrame:
-    """Empirical p of each link from links of other elements whose mean is alike.
+def null_corr(links: DataFrame, stats: DataFrame, draws: int, keys: tuple[str, ...] = ("mean", "gc"), strata: int = 5, block: int = 2000) -> DataFrame:
+    """Empirical p of each link (fx, fy, corr) from `draws` links of elements alike in `keys`: fx, fy, corr, p, drawn.
 
-    Elements are dealt to strata by mean; of the links of a stratum the first `draws`
-    by hash are its background, for a link itself without that link. p = (1 + background at
-    least as strong) / (1 + background). The background has at most strata x draws rows, so
-    it is sent to all tasks and the links are not shuffled by stratum.
+    Elements (rows of `stats`: feature and the keys) are dealt to `strata` parts by each
+    key. The links of a stratum stand in a circle by hash; a link's background are those that
+    follow it, so each is drawn once and the link itself is left out. p = (1 + drawn ones at
+    least as strong) / (1 + drawn). Places come from running sums over range partitions, and
+    comparisons run in blocks of links with as many more as are drawn, so a stratum is many tasks.
     """
-    strat = stats.withColumn("stratum", F.ntile(strata).over(Window.orderBy("mean", "feature"))).select(F.col("feature").alias("fx"), "stratum")
-    own = links.where("corr is not null").join(strat, "fx")
-    order = F.row_number().over(Window.partitionBy("stratum").orderBy(F.xxhash64("fx", "fy"), "fx", "fy"))
-    back = own.withColumn("_k", order).where(F.col("_k") <= draws)
-    back = back.groupBy("stratum").agg(F.collect_list(F.struct("fx", "fy", "corr")).alias("_back"))  # at most `draws` each
-    near = own.join(F.broadcast(back), "stratum").withColumn("_back", F.filter("_back", lambda b: (b["fx"] != F.col("fx")) | (b["fy"] != F.col("fy"))))
-    high = F.size(F.filter("_back", lambda b: b["corr"] >= F.col("corr")))
-    return near.select("fx", "fy", "corr", ((1 + high) / (1 + F.size("_back"))).alias("p"))
+    for key in keys:
+        stats = stats.withColumn(f"_{key}", F.ntile(strata).over(Window.orderBy(key, "feature")))  # a row per element
+    strat = stats.select(F.col("feature").alias("fx"), F.concat_ws("-", *[F.col(f"_{key}") for key in keys]).alias("stratum"))
+    name = F.concat_ws(":", F.col("fx").cast("string"), F.col("fy").cast("string"))
+    own = links.where("corr is not null").join(strat, "fx").select("stratum", "fx", "fy", "corr", F.md5(name.cast("binary")).alias("_h"), F.lit(1).alias("_one"))
+    placed = running_totals(own, ["stratum"], ["_h", "fx", "fy"], "_one", "at")
+    size = placed.groupBy("stratum").agg(F.count("*").alias("n"))
+    block = max(block, draws)
+    placed = placed.join(F.broadcast(size), "stratum").withColumn("m", F.least(F.lit(draws), F.col("n") - 1))  # strata rows
+    # a link at place q of the unrolled circle is compared in each block that reaches it
+    twice = placed.withColumn("q", F.explode(F.when(F.col("at") < F.col("m"), F.array("at", F.col("at") + F.col("n"))).otherwise(F.array("at"))))
+    first = F.greatest(F.floor((F.col("q") - F.col("m") - block) / block) + 1, F.lit(0))
+    last = F.least(F.floor(F.col("q") / block), F.floor((F.col("n") - 1) / block))
+    rows = twice.where(first <= last).withColumn("block", F.explode(F.sequence(first, last)))
+    kinds = dict(links.dtypes)
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("q")
+        m, c = int(pdf["m"].iloc[0]), pdf["corr"].to_numpy()
+        mine = pdf[(pdf["q"] == pdf["at"]) & (pdf["q"] // block == key[1])]
+        high = (np.lib.stride_tricks.sliding_window_view(c[1:], m)[: len(mine)] >= c[: len(mine), None]).sum(axis=1) if m else 0
+        return mine[["fx", "fy", "corr"]].assign(p=(1.0 + high) / (1.0 + m), drawn=m)
+
+    compared = rows.select("stratum", "block", "q", "at", "m", "fx", "fy", "corr").groupBy("stratum", "block")
+    return compared.applyInPandas(compare, f"fx {kinds['fx']}, fy {kinds['fy']}, corr double, p double, drawn long")
 
 
 def grn_edges(hits: DataFrame, links: DataFrame, coexp: DataFrame, cut: float) -> tuple[DataFrame, DataFrame]:
@@ -238,21 +284,29 @@ def network_degree(edges: DataFrame, k: int) -> DataFrame:
     return deg.orderBy((F.col("n_out") + F.col("n_in")).desc(), "node").limit(k)
 
 
-def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, every: int = 1) -> DataFrame:
-    """Centrality that sums to one; the rank of nodes without out-edges is dealt to all."""
-    e = materialize(edges.select("src", "dst").distinct().withColumn("_w", 1 / F.count("*").over(Window.partitionBy("src"))), "rank-edges")
+def pagerank(edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-10, most_rounds: int = 1000) -> DataFrame:
+    """Centrality that sums to one: node, rank; the rank of nodes without out-edges is dealt to all.
+
+    Rounds end when the ranks' changes add up to at most `tolerance` (they shrink by
+    `damping` a round); an error is raised if they do not. Repeated edges count once.
+    """
+    pairs = edges.select("src", "dst").distinct()
+    e = materialize(pairs.join(pairs.groupBy("src").agg((1 / F.count("*")).alias("_w")), "src"), "rank-edges")
     nodes = materialize(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "rank-nodes")
     n = nodes.count()
     cur = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for i in range(rounds):
+    for _ in range(most_rounds):
         flow = e.join(cur.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("_w") * F.col("rank")).alias("_in"))
         got = flow.agg(F.coalesce(F.sum("_in"), F.lit(0.0)).alias("_all"))
-        nxt = nodes.join(flow, "node", "left").join(F.broadcast(got))  # one row
-        lost = (1.0 - F.col("_all")) / n
-        cur = nxt.select("node", (F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("_in", F.lit(0.0)) + lost)).alias("rank"))
-        if (i + 1) % every == 0 or i == rounds - 1:
-            cur = materialize(cur, "ranks")
-    return cur
+        nxt = cur.join(flow, "node", "left").join(F.broadcast(got))  # one row
+        lost = (1.0 - F.col("_all")) / max(n, 1)
+        rank = F.lit((1 - damping) / max(n, 1)) + damping * (F.coalesce("_in", F.lit(0.0)) + lost)
+        cur = materialize(nxt.select("node", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("_change")), "ranks")
+        change = cur.agg(F.sum("_change")).first()[0] or 0.0
+        cur = cur.select("node", "rank")
+        if change <= tolerance:
+            return cur
+    raise RuntimeError(f"ranks not settled after {most_rounds} rounds: they still change by {change:.1e}")
 
 
 def network_diff(one: DataFrame, two: DataFrame, change: float) -> DataFrame:

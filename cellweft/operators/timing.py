@@ -98,6 +98,30 @@ def smooth_trend(trend: DataFrame, reach: int, bins: int | None = None) -> DataF
     return copies.withColumn("y", F.avg("y").over(near)).where("_own").select("feature", "bin", "y")
 
 
+def kernel_trend(x: DataFrame, bins: int, width: float, period: float | None = None) -> DataFrame:
+    """Gaussian kernel mean of each feature along time: feature, bin, t (middle of the bin), y.
+
+    `x` has feature, t, y with t irregular, in [0, period) on a cycle or, without a
+    period, anywhere. Values are summed in `bins` bins first and the bins' sums are weighted
+    by their distance (around the cycle where there is one), so a feature costs bins
+    squared, however many rows it has. `width` is the kernel's standard deviation in units of t.
+    """
+    if period is None:
+        ends = x.agg(F.min("t"), F.max("t")).first()
+        low, span = float(ends[0] or 0.0), float(ends[1] or 0.0) - float(ends[0] or 0.0) or 1.0
+    else:
+        low, span = 0.0, period
+    step = span / bins
+    at = F.least(F.greatest(F.floor((F.col("t") - low) * bins / span), F.lit(0)), F.lit(bins - 1)).cast("int")
+    sums = x.where("y is not null and t is not null").groupBy("feature", at.alias("_from")).agg(F.sum("y").alias("_y"), F.count("*").alias("_n"))
+    away = lambda i, j: min(abs(i - j), bins - abs(i - j)) * step if period is not None else abs(i - j) * step
+    weights = [(i, j, math.exp(-(away(i, j) ** 2) / (2 * width * width))) for i in range(bins) for j in range(bins)]
+    table = x.sparkSession.createDataFrame(weights, "_from int, bin int, _w double")
+    both = sums.join(F.broadcast(table), "_from").groupBy("feature", "bin")  # bins squared rows
+    mean = F.sum(F.col("_w") * F.col("_y")) / F.nullif(F.sum(F.col("_w") * F.col("_n")), F.lit(0.0))
+    return both.agg(mean.alias("y")).select("feature", "bin", (low + (F.col("bin") + 0.5) * step).alias("t"), "y")
+
+
 def time_association(trend: DataFrame) -> DataFrame:
     """Spearman correlation of each feature with time, by mid-ranks; null for a constant."""
     mid = lambda c: F.rank().over(Window.partitionBy("feature").orderBy(c)) + (F.count("*").over(Window.partitionBy("feature", c)) - 1) / 2.0

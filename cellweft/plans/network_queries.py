@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellweft.operators import cells as C
+from cellweft.operators import neighbours as NB
 from cellweft.operators import network as N
 from cellweft.operators import reduce as R
 from cellweft.operators.tables import materialize
@@ -108,6 +109,16 @@ def q17(spark, d):
     return N.doublet_score(view(spark, d, "m_emb"))
 
 
+@_add("i4_knn_descent")
+def i4b(spark, d):
+    return NB.knn_descent(view(spark, d, "m_emb"), K).withColumn("distance", r("distance"))
+
+
+@_add("g2_metacell_counts", duck("select label metacell, feature, sum(x) x, count(*) cells from m_counts join m_emb using (cell) group by all", "m_counts", "m_emb"))
+def g2b(spark, d):
+    return N.metacell_counts(view(spark, d, "m_counts").select("cell", "feature", "x"), view(spark, d, "m_emb").selectExpr("cell", "label metacell"))
+
+
 @_add("g2_metacells")
 def g2(spark, d):
     return N.metacells(view(spark, d, "m_emb"), 25)
@@ -138,10 +149,26 @@ def g3(spark, d):
     return _links(spark, d)
 
 
-@_add("g4_null_corr")
+_GC = "round(coalesce((length(seq) - length(translate(seq, 'GC', ''))) / nullif(length(seq), 0), 0), 9)"
+
+
+@_add(
+    "g4_null_corr",
+    duck(
+        f"""with {_SIDES}, el as (select f.feature, f.mean, coalesce({_GC}, 0) gc from (select feature, sum(x) / (select n from n) mean from c group by 1) f left join m_seq on doc_id = f.feature),
+sa as (select feature fx, ntile(5) over (order by mean, feature) || '-' || ntile(5) over (order by gc, feature) stratum from el),
+rk as (select fx, fy, corr, stratum, row_number() over (partition by stratum order by md5(fx || ':' || fy), fx, fy) - 1 pos, count(*) over (partition by stratum) n from lc join sa using (fx) where corr is not null),
+dr as (select fx, fy, corr, stratum, least(100, n - 1) m, unnest(list_transform(range(1, least(100, n - 1) + 1), lambda j: (pos + j) % n)) pos from rk),
+hi as (select d.fx, d.fy, count(*) high from dr d join rk b on b.stratum = d.stratum and b.pos = d.pos where b.corr >= d.corr group by 1, 2)
+select fx, fy, corr, round((1 + coalesce(high, 0)) / (1 + least(100, n - 1)), 9) p, least(100, n - 1)::bigint drawn from rk left join hi using (fx, fy)""",
+        "m_counts",
+        "m_seq",
+    ),
+)
 def g4(spark, d):
-    links = materialize(_links(spark, d), "links")
-    return N.null_corr(links, C.feature_moments(view(spark, d, "m_counts")).select("feature", "mean"), 200)
+    seq = view(spark, d, "m_seq").selectExpr("doc_id feature", f"{_GC} gc")
+    stats = C.feature_moments(view(spark, d, "m_counts")).select("feature", "mean").join(seq, "feature", "left").withColumn("gc", F.coalesce("gc", F.lit(0.0)))
+    return N.null_corr(materialize(_links(spark, d), "links"), stats, 100).withColumn("p", r("p", 9))
 
 
 @_add("g5_bh_adjust", duck(f"with {_SIDES}, p as (select fx grp, fy id, 1 - abs(corr) p from lc where corr is not null), k as (select *, p * count(*) over (partition by grp) / row_number() over (partition by grp order by p, id) raw from p) select grp, id, round(p, 6) p, round(least(min(raw) over (partition by grp order by p desc, id desc rows unbounded preceding), 1), 6) q from k", "m_counts"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellweft.operators.tables import shared_dir
@@ -44,3 +44,24 @@ def s3(spark, d):
 @_add("s6_read_track", duck("select chrom, st, en, round(score, 6) score from m_track", "m_track"))
 def s6(spark, d):
     return readers.read_track(spark, _text(view(spark, d, "m_track"), "track")).withColumn("score", r("score"))
+
+
+@_add("s4_read_sequence", duck("select doc_id::varchar chrom, unnest(range(0, length(seq), 200)) chunk_start, substr(seq, chunk_start + 1, 220) seq from m_seq", "m_seq"))
+def s4(spark, d):
+    path = f"{shared_dir(spark)}/sequence-{uuid.uuid4().hex}"
+    view(spark, d, "m_seq").select(F.concat(F.lit(">"), F.col("doc_id").cast("string"), F.lit(" a record\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value")).write.text(path)
+    return readers.read_sequence(spark, path, 200, 20)
+
+
+_PLACED = "block * 10 st0, length(text) n, case when block % 2 = 1 then '-' else '+' end strand, block * 10 + length(text) + 1000 src_size"
+
+
+@_add("s5_read_alignments", duck(f"with p as (select *, {_PLACED} from m_rows where text <> ''), q as (select *, case when strand = '-' then src_size - st0 - n else st0 end st from p) select species, 'c' || block chrom, st, st + n en, strand, src_size, text, count(*) over (partition by block) in_block from q", "m_rows"))
+def s5(spark, d):
+    rows = view(spark, d, "m_rows").where("text <> ''").selectExpr("block", "species", "text", *_PLACED.split(", ", 1)[:1], "length(text) n", "case when block % 2 = 1 then '-' else '+' end strand", "block * 10 + length(text) + 1000 src_size")
+    line = F.concat_ws(" ", F.lit("s"), F.concat("species", F.lit(".c"), F.col("block").cast("string")), *[F.col(c).cast("string") for c in ("st0", "n", "strand", "src_size", "text")])
+    blocks = rows.groupBy("block").agg(F.concat(F.lit("a score=0\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n")).alias("value"))  # a row per species
+    path = f"{shared_dir(spark)}/alignments-{uuid.uuid4().hex}"
+    blocks.select("value").write.text(path)
+    out = readers.read_alignments(spark, path)
+    return out.withColumn("in_block", F.count("*").over(Window.partitionBy("block"))).drop("block")

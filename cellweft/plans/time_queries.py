@@ -61,6 +61,21 @@ def t5(spark, d):
     return T.smooth_trend(view(spark, d, "m_trend"), 2, 30).withColumn("y", r("y"))
 
 
+_HOURS = "select event_type feature, ({sec} % 86400) / cast(3600 as double) t, value y from events"
+
+
+@_add(
+    "t5_kernel_trend",
+    "with e as (" + _HOURS.format(sec="(floor(epoch(ts) - epoch(timestamp '2024-01-01'))::bigint)") + """), s as (select feature, least(floor(t * 24 / 24), 23)::int f, sum(y) y, count(*) n from e where y is not null group by all),
+w as (select i f, j bin, exp(-pow(least(abs(i - j), 24 - abs(i - j)), 2) / (2 * 1.5::double * 1.5)) w from range(24) a(i), range(24) b(j))
+select feature, bin::int bin, bin + 0.5::double t, round(sum(w * y) / sum(w * n), 6) y from s join w using (f) group by feature, bin""",
+)
+def t5b(spark, d):
+    events = spark.read.parquet(f"{d}/events.parquet")
+    rows = spark.sql(_HOURS.format(sec="timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts)").replace("from events", "from {events}"), events=events)
+    return T.kernel_trend(rows, 24, 1.5, 24.0).withColumn("y", r("y"))
+
+
 @_add("t6_time_association", duck("with k as (select feature, rank() over (partition by feature order by y) + (count(*) over (partition by feature, y) - 1) / 2.0::double a, rank() over (partition by feature order by bin) + (count(*) over (partition by feature, bin) - 1) / 2.0::double b from m_trend) select feature, round(corr(a, b), 6) rho, count(*) n from k group by feature", "m_trend"))
 def t6(spark, d):
     return T.time_association(view(spark, d, "m_trend")).withColumn("rho", r("rho"))

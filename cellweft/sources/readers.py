@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cellweft.sources.lines import placed_lines, under_headers
+
 
 def read_counts(spark: SparkSession, matrix: str, barcodes: str, features: str, sample: str) -> DataFrame:
     """Sparse triplets (row, column, value, 1-based, '%' comments and a size line) with their names: sample, cell, feature, x.
@@ -49,11 +51,42 @@ def read_intervals(spark: SparkSession, path: str, fmt: str = "bed") -> DataFram
 
 
 def read_sequence(spark: SparkSession, path: str, width: int, overlap: int = 0) -> DataFrame:
-    """FASTA records as chunks: chrom, chunk_start, seq of `width` bases plus `overlap` of the next."""
-    rec = spark.read.option("lineSep", ">").text(path).where("value <> ''").select(F.split("value", "\r?\n", 2).alias("p"))
-    one = rec.select(F.split(F.col("p")[0], r"\s")[0].alias("chrom"), F.regexp_replace(F.coalesce(F.get("p", F.lit(1)), F.lit("")), r"\s", "").alias("all")).where("all <> ''")
-    starts = F.sequence(F.lit(0), F.char_length("all") - 1, F.lit(width))
-    return one.select("chrom", F.explode(F.transform(starts, lambda s: F.struct(s.cast("long").alias("chunk_start"), F.substring(F.col("all"), s + 1, F.lit(width + overlap)).alias("seq")))).alias("c")).select("chrom", "c.*")
+    """FASTA records as chunks: chrom, chunk_start, seq of `width` bases plus `overlap` of the next.
+
+    Lines are read in as many splits as Spark likes; each knows its record and its place in it
+    from running sums, and gives its bases to the chunks it reaches, so a chromosome
+    is many tasks and no row is longer than a line or a chunk. Records of one name in
+    several places stay apart.
+    """
+    bases = F.regexp_replace("value", r"\s", "")
+    lines = placed_lines(spark, path).where("value <> ''")
+    own = under_headers(lines, F.col("value").startswith(">"), F.regexp_extract("value", r"^>\s*(\S*)", 1), F.char_length(bases))
+    rows = own.where("not is_header and title is not null").select("number", F.col("title").alias("chrom"), "before", bases.alias("bases")).where("bases <> ''")
+    first = F.greatest(F.floor((F.col("before") - overlap) / width), F.lit(0))
+    last = F.floor((F.col("before") + F.char_length("bases") - 1) / width)
+    rows = rows.withColumn("chunk", F.explode(F.sequence(first, last)))
+    begin = F.greatest(F.col("chunk") * width - F.col("before"), F.lit(0))
+    end = F.least((F.col("chunk") + 1) * width + overlap - F.col("before"), F.char_length("bases"))
+    parts = rows.where(begin < end).select("number", "chrom", "chunk", F.struct((F.col("before") + begin).alias("at"), F.col("bases").substr((begin + 1).cast("int"), (end - begin).cast("int")).alias("bases")).alias("part"))
+    seq = F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["bases"]), "")  # width + overlap bases
+    return parts.groupBy("number", "chrom", "chunk").agg(seq.alias("seq")).select("chrom", (F.col("chunk") * width).alias("chunk_start"), "seq")
+
+
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    """Multiple-alignment blocks ('a' lines, each with 's' rows): block, species, chrom, st, en, strand, src_size, text.
+
+    Blocks are numbered in the order of the files' paths and lines, whichever splits they
+    are read in. A source 'species.chrom' is parted at its first dot; without one it is both. Places are turned to
+    the plus strand, half-open: a row on the minus strand covers src_size - start - size on.
+    Other lines (comments, 'i', 'e', 'q') are passed over.
+    """
+    lines = placed_lines(spark, path).where("value rlike '^[as]([ \\\\t]|$)'")
+    own = under_headers(lines, F.col("value").startswith("a"), F.lit("a"), F.lit(0)).where("not is_header and title is not null")
+    f = F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")
+    rows = own.where(F.size(f) >= 7).select((F.col("number") - 1).alias("block"), f[1].alias("src"), f[2].cast("long").alias("_st"), f[3].cast("long").alias("_n"), f[4].alias("strand"), f[5].cast("long").alias("src_size"), f[6].alias("text"))
+    st = F.when(F.col("strand") == "-", F.col("src_size") - F.col("_st") - F.col("_n")).otherwise(F.col("_st"))
+    chrom = F.when(F.col("src").contains("."), F.regexp_extract("src", r"^[^.]*\.(.*)$", 1)).otherwise(F.col("src"))
+    return rows.select("block", F.substring_index("src", ".", 1).alias("species"), chrom.alias("chrom"), st.alias("st"), (st + F.col("_n")).alias("en"), "strand", "src_size", "text")
 
 
 def read_align_blocks(spark: SparkSession, path: str) -> DataFrame:

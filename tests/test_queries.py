@@ -34,6 +34,53 @@ def test_half_open_and_many_bins(spark):
     assert intervals.interval_join(a.limit(0), b).count() == 0
 
 
+def test_intervals_of_all_lengths(spark):
+    """Against all pairs; lengths from one base to a chromosome, on either side, and bins with so many rows that they are split."""
+    rng = np.random.default_rng(9)
+
+    def some(n, first):
+        size = np.minimum(10 ** rng.uniform(0, 6.5, n), 3_000_000).astype(int)
+        st = np.where(rng.random(n) < 0.5, rng.integers(0, 3_000_000, n), rng.integers(0, 3000, n))
+        return [(first + i, "c" if i % 5 else "d", int(s), int(s + w)) for i, (s, w) in enumerate(zip(st, size, strict=True))] + [(first + n, "c", 5, 5)]
+
+    a, b = some(150, 0), some(120, 1000)
+    want = sorted((p, q) for p, c, s, e in a for q, d, t, f in b if c == d and s < f and t < e and e > s and f > t)
+    for most in (20_000, 6):
+        got = intervals.interval_join(spark.createDataFrame(a, IV), spark.createDataFrame(b, IV), most=most)
+        assert got.columns == ["pid", "chrom", "st", "en", "b_pid", "b_st", "b_en"]
+        assert sorted((r.pid, r.b_pid) for r in got.collect()) == want
+
+
+def test_a_long_interval_is_few_rows(spark):
+    a = spark.createDataFrame([(1, "c", 0, 250_000_000)], IV)
+    b = spark.createDataFrame([(i, "c", i * 1000, i * 1000 + 500) for i in range(3000)], IV)
+    left, right = intervals.binned(a, b, 2000)
+    assert left.count() <= 2 and right.count() <= 4 * 3000
+    assert intervals.interval_join(a, b).count() == 3000
+    # a hot bin: no part of it has more rows of a side than asked for
+    left, right = intervals.binned(b, b, 100_000_000, most=500)
+    keys = ["chrom", "_level", "_bin", "_s", "_t"]
+    assert max(x.groupBy(*keys).count().agg({"count": "max"}).first()[0] for x in (left, right)) < 650
+
+
+def test_kernel_trend(spark):
+    """Against the sum over all pairs of bins, on a cycle and on a line; nulls and features without rows are passed over."""
+    rng = np.random.default_rng(10)
+    t, y = rng.random(200) * 10, rng.random(200)
+    rows = [("f", float(a), float(b)) for a, b in zip(t, y, strict=True)] + [("f", None, 1.0), ("f", 1.0, None)]
+    x = spark.createDataFrame(rows, "feature string, t double, y double")
+    for period in (10.0, None):
+        low, span = (0.0, 10.0) if period else (t.min(), t.max() - t.min())
+        at = np.clip(np.floor((t - low) * 20 / span), 0, 19)
+        gap = np.abs(at[:, None] - np.arange(20)[None, :])
+        gap = np.minimum(gap, 20 - gap) if period else gap
+        w = np.exp(-((gap * span / 20) ** 2) / (2 * 0.8**2))
+        want = (w * y[:, None]).sum(axis=0) / w.sum(axis=0)
+        got = timing.kernel_trend(x, 20, 0.8, period).orderBy("bin").collect()
+        assert [r.y for r in got] == pytest.approx(want.tolist())
+        assert got[0]["t"] == pytest.approx(low + span / 40)
+
+
 def test_implicit_zeros(spark):
     c = spark.createDataFrame([("s", i, "f", x) for i, x in ((1, 2.0), (2, 4.0))] + [("s", i, "g", 1.0) for i in (1, 2, 3, 4)], "sample string, cell long, feature string, x double")
     m = {r.feature: (r.mean, r.var) for r in cells.feature_moments(c).collect()}
