@@ -53,14 +53,14 @@ def probes_of(m: int, upto: int, after: int = -1) -> int:
 
 
 def segments_for(n: int, k: int) -> int:
-    """Number of segments, from 2 to 16, for which a query's probes and the entries they meet are fewest.
+    """Number of segments, from 3 (a segment is an int) to 16, for which a query's probes and the entries they meet are fewest.
 
     Planned for n codes whose bits are even and independent, where the k-th is
     expected at the distance within which k of n codes lie.
     """
     within = (sum(math.comb(BITS, i) for i in range(d + 1)) * n / 2**BITS for d in range(BITS + 1))
     kth = next((d for d, x in enumerate(within) if x >= k), BITS)
-    return min(range(2, 17), key=lambda m: probes_of(m, kth) * (1 + n / 2 ** (BITS / m)))
+    return min(range(3, 17), key=lambda m: probes_of(m, kth) * (1 + n / 2 ** (BITS / m)))
 
 
 def hamming_topk(codes: DataFrame, queries: DataFrame, k: int = 10, m: int | None = None, probes_at_once: int = 300_000) -> DataFrame:
