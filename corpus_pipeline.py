@@ -71,9 +71,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Null and empty texts are one end mark; repeated rows are documents each. Empty
     table: empty. Columns other than doc_id and text are not carried into the pieces. The documents, which
-    mixing leaves in order of size, are dealt evenly to tasks; their pieces, wide with ids, are packed where they are made.
+    mixing leaves in order of size, are dealt evenly to as many tasks as a shuffle has; their pieces, wide with ids, are packed where they are made.
     """
-    dealt = docs.select("doc_id", "text").hint("rebalance")
+    dealt = docs.select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return packing.pack(packing.tokenise_pieces(dealt, packing.vocabulary_path()), deal=False)
 
 
