@@ -140,6 +140,13 @@ def frag_length_hist(frag: DataFrame, edges: list[int]) -> DataFrame:
     return frag.groupBy("cell", cls.alias("cls")).agg(F.count("*").alias("n"))
 
 
+def frag_length_ratio(frag: DataFrame, cut: int) -> DataFrame:
+    """Per cell: fragments shorter than `cut`, the others, and their ratio (null without longer ones)."""
+    short = F.col("en") - F.col("st") < cut
+    n = frag.groupBy("cell").agg(F.count(F.when(short, 1)).alias("n_short"), F.count(F.when(~short, 1)).alias("n_long"))
+    return n.withColumn("ratio", F.col("n_short") / F.nullif("n_long", F.lit(0)))
+
+
 def tile_counts(frag: DataFrame, size: int) -> DataFrame:
     """Fragments per cell and tile of their start."""
     return frag.groupBy("cell", "chrom", (F.floor(F.col("st") / size) * size).alias("tile")).agg(F.count("*").alias("x"))

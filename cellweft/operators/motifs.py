@@ -130,26 +130,35 @@ def motif_deviation(atac: DataFrame, hits: DataFrame, bg: DataFrame) -> DataFram
     """Per cell and motif: observed over expected accessibility, and its z-score against background element sets.
 
     `hits` has motif, feature; `bg` motif, draw, feature. Expected: the cell's total
-    times the set's share of all counts.
+    times the set's share of all counts. A cell without counts in a set deviates by -1, so
+    means and spreads over a motif's draws follow from sums over the sets in which a cell
+    has counts; cells times draws are never made. The shares of the motifs' own sets, a row per
+    motif, go to all tasks, as the result has a row per cell and motif.
     """
     cell = atac.groupBy("cell").agg(F.sum("x").alias("_ct"))
-    feat = atac.groupBy("feature").agg(F.sum("x").alias("_ft"))
-    total = atac.agg(F.sum("x").alias("_all"))
+    feat = materialize(atac.groupBy("feature").agg(F.sum("x").alias("_ft")), "totals")
+    total = feat.agg(F.sum("_ft").alias("_all"))
 
-    def deviation(sets: DataFrame, keys: list[str]) -> DataFrame:
-        share = sets.join(feat, "feature").groupBy(*keys).agg(F.sum("_ft").alias("_st"))
+    def shares(sets: DataFrame, keys: list[str]) -> DataFrame:
+        return sets.join(feat, "feature").groupBy(*keys).agg(F.sum("_ft").alias("_st"))
+
+    def ratios(sets: DataFrame, share: DataFrame, keys: list[str]) -> DataFrame:
+        """Observed over expected where a cell has counts in a set."""
         got = atac.join(sets, "feature").groupBy("cell", *keys).agg(F.sum("x").alias("_o"))
-        share = materialize(share, "shares")
-        if share.count() > 100_000:
-            raise ValueError("more than 100,000 sets: score them in parts")
-        sets_ = share.agg(F.collect_list(F.struct(*keys, "_st")).alias("_sets"))  # one row of at most that many
-        every = cell.join(F.broadcast(total)).join(F.broadcast(sets_)).select("cell", "_ct", "_all", F.inline("_sets"))  # a row per cell and set, as in the result
-        e = F.col("_ct") * F.col("_st") / F.col("_all")
-        return every.join(got, ["cell", *keys], "left").select("cell", *keys, ((F.coalesce("_o", F.lit(0.0)) - e) / e).alias("dev"))
-
-    own = deviation(hits.select("motif", "feature").distinct(), ["motif"])
-    null = deviation(bg.select("motif", "draw", "feature").distinct(), ["motif", "draw"]).groupBy("cell", "motif").agg(F.avg("dev").alias("_m"), F.stddev_samp("dev").alias("_s"))
-    return own.join(null, ["cell", "motif"]).select("cell", "motif", "dev", ((F.col("dev") - F.col("_m")) / F.nullif("_s", F.lit(0.0))).alias("z"))
+        got = got.join(share, keys).join(cell, "cell").join(F.broadcast(total))  # one row
+        return got.select("cell", *keys, (F.col("_o") * F.col("_all") / (F.col("_ct") * F.col("_st"))).alias("_r"))
+
+    sets, null = hits.select("motif", "feature").distinct(), bg.select("motif", "draw", "feature").distinct()
+    share, null_share = materialize(shares(sets, ["motif"]), "shares"), materialize(shares(null, ["motif", "draw"]), "shares")
+    draws = null_share.groupBy("motif").agg(F.count("*").cast("double").alias("_d"))
+    own = ratios(sets, share, ["motif"])
+    spread = ratios(null, null_share, ["motif", "draw"]).groupBy("cell", "motif").agg(F.sum("_r").alias("_s"), F.sum(F.col("_r") * F.col("_r")).alias("_ss"))
+    every = cell.select("cell").join(F.broadcast(share.join(draws, "motif").select("motif", "_d")))  # a row per motif
+    j = every.join(own, ["cell", "motif"], "left").join(spread, ["cell", "motif"], "left").fillna(0.0, ["_r", "_s", "_ss"])
+    mean = F.col("_s") / F.col("_d")
+    var = (F.col("_ss") - F.col("_d") * mean * mean) / F.nullif(F.col("_d") - 1, F.lit(0.0))
+    var = F.when(var > 1e-12 * (F.col("_ss") + 1), var)
+    return j.select("cell", "motif", (F.col("_r") - 1).alias("dev"), ((F.col("_r") - mean) / F.sqrt(var)).alias("z"))
 
 
 def conserved_enrichment(fg: DataFrame, bg: DataFrame, track: DataFrame, cut: float) -> DataFrame:

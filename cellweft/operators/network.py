@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweft.operators.running import running_totals
+from cellweft.operators.running import running, running_totals
+from cellweft.operators.spectral import block_sum
 from cellweft.operators.tables import materialize
 
 
@@ -74,20 +75,39 @@ def transfer_labels(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return votes.withColumns({"_k": F.row_number().over(best), "share": share}).where("_k = 1").select(F.col("a").alias("cell"), "label", "share")
 
 
-def mnn_correct(emb: DataFrame, pairs: DataFrame, reference: int, width: float) -> DataFrame:
+def mnn_correct(emb: DataFrame, pairs: DataFrame, reference: int, width: float, block: int = 2000) -> DataFrame:
     """Cells shifted towards the reference sample: the mean difference of their sample's pairs, weighted by a Gaussian kernel of the distance to the pair.
 
-    A cell of a sample without pairs, or of the reference, stays where it is.
+    A cell of a sample without pairs, or of the reference, stays where it is. Cells meet pairs in
+    blocks of some `block` each, whose weighted sums are one row per cell; a cell and a pair are no row of their own.
     """
     v = emb.select("cell", "sample", F.col("vec").cast("array<double>").alias("v"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     left = v.withColumnsRenamed({"cell": "a", "sample": "_sa", "v": "_va"})
     right = v.withColumnsRenamed({"cell": "b", "sample": "_sb", "v": "_vb"}).where(F.col("_sb") == reference)
     d = both.join(left, "a").join(right, "b").where(F.col("_sa") != reference)
-    d = d.select(F.col("_sa").alias("sample"), "_va", F.zip_with("_vb", "_va", lambda x, y: x - y).alias("_diff"))
-    near = v.join(d, "sample").withColumn("_w", F.exp(-_distance2("v", "_va") / (2 * width * width)))
-    moved = near.select("cell", "_w", F.posexplode("_diff").alias("pos", "x")).groupBy("cell", "pos").agg((F.sum(F.col("_w") * F.col("x")) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("x"))
-    shift = moved.groupBy("cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: F.coalesce(s["x"], F.lit(0.0))).alias("_shift"))
+    d = materialize(d.select("a", "b", F.col("_sa").alias("sample"), F.col("_va").alias("at"), F.zip_with("_vb", "_va", lambda x, y: x - y).alias("diff")), "pair-shifts")
+    sizes = d.groupBy("sample").agg(F.count("*").alias("_p")).join(v.groupBy("sample").agg(F.count("*").alias("_c")), "sample")
+    sizes = F.broadcast(sizes.select("sample", F.ceil(F.col("_p") / block).cast("int").alias("_np"), F.ceil(F.col("_c") / block).cast("int").alias("_nc")))  # a row per sample
+    part = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cells = v.join(sizes, "sample").withColumn("_i", part(["cell"], "_nc")).withColumn("_j", every("_np")).select("sample", "_i", "_j", "cell", "v")
+    moves = d.join(sizes, "sample").withColumn("_j", part(["a", "b"], "_np")).withColumn("_i", every("_nc")).select("sample", "_i", "_j", "at", "diff")
+
+    def sums(some: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        if not len(some) or not len(near):
+            return pd.DataFrame({"cell": some["cell"][:0], "top": [], "low": []})
+        x, y, z = (np.stack(c.to_numpy()) for c in (some["v"], near["at"], near["diff"]))
+        far = np.array([((y - row) ** 2).sum(axis=1) for row in x])
+        w = np.exp(-far / (2 * width * width))
+        return pd.DataFrame({"cell": some["cell"], "top": list(w @ z), "low": w.sum(axis=1)})
+
+    keys = ["sample", "_i", "_j"]
+    kind = emb.schema["cell"].dataType.simpleString()
+    met = cells.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(sums, f"cell {kind}, top array<double>, low double")
+    first = v.select(F.size("v")).first()
+    whole = met.groupBy("cell").agg(block_sum("top", first[0] if first else 0).alias("_top"), F.sum("low").alias("_low")).where("_low > 0")
+    shift = whole.select("cell", F.transform("_top", lambda t: t / F.col("_low")).alias("_shift"))
     out = v.join(shift, "cell", "left")
     return out.select("cell", "sample", F.when(F.col("_shift").isNull(), F.col("v")).otherwise(F.zip_with("v", "_shift", lambda x, y: x + y)).alias("vec"))
 
@@ -191,11 +211,15 @@ def score_sets(x: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def bh_adjust(df: DataFrame, by: str) -> DataFrame:
-    """Adds q, the Benjamini-Hochberg adjusted p, within each group; ties by id."""
-    up = Window.partitionBy(by).orderBy("p", "id")
-    raw = F.col("p") * F.count("*").over(Window.partitionBy(by)) / F.row_number().over(up)
-    down = Window.partitionBy(by).orderBy(F.col("p").desc(), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_raw", raw).withColumn("q", F.least(F.min("_raw").over(down), F.lit(1.0))).drop("_raw")
+    """Adds q, the Benjamini-Hochberg adjusted p, within each group (not null); ties by id.
+
+    Ranks and the least value of the ranks from a row on are running values over range
+    partitions, so a group that holds all rows is many tasks.
+    """
+    ranked = running_totals(df.withColumn("_one", F.lit(1)), [by], ["p", "id"], "_one", "_below")
+    ranked = ranked.join(df.groupBy(by).agg(F.count("*").alias("_n")), by)
+    raw = ranked.withColumn("_raw", F.col("p") * F.col("_n") / (F.col("_below") + 1)).drop("_one", "_below", "_n")
+    return running(raw, [by], ["p", "id"], "_raw", "q", F.min, after=True, own=True).withColumn("q", F.least("q", F.lit(1.0))).drop("_raw")
 
 
 def null_corr(links: DataFrame, stats: DataFrame, draws: int, keys: tuple[str, ...] = ("mean", "gc"), strata: int = 5, block: int = 2000) -> DataFrame:

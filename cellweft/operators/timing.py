@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellweft.operators.running import mid_ranks
 from cellweft.operators.spectral import block_sum, leading_vectors
 from cellweft.operators.tables import materialize
 
@@ -123,15 +124,30 @@ def kernel_trend(x: DataFrame, bins: int, width: float, period: float | None = N
 
 
 def time_association(trend: DataFrame) -> DataFrame:
-    """Spearman correlation of each feature with time, by mid-ranks; null for a constant."""
-    mid = lambda c: F.rank().over(Window.partitionBy("feature").orderBy(c)) + (F.count("*").over(Window.partitionBy("feature", c)) - 1) / 2.0
-    ranked = trend.select("feature", mid("y").alias("_a"), mid("bin").alias("_b"))
+    """Spearman correlation of each feature with time, by mid-ranks; null for a constant. Ranks come from counts of values over range partitions."""
+    own = trend.select("feature", "bin", "y").where("y is not null and bin is not null")
+    ranked = own.join(mid_ranks(own, ["feature"], "y", "_a"), ["feature", "y"]).join(mid_ranks(own, ["feature"], "bin", "_b"), ["feature", "bin"])
     n = F.count("*")
     top = n * F.sum(F.col("_a") * F.col("_b")) - F.sum("_a") * F.sum("_b")
     va, vb = n * F.sum(F.col("_a") * F.col("_a")) - F.pow(F.sum("_a"), 2), n * F.sum(F.col("_b") * F.col("_b")) - F.pow(F.sum("_b"), 2)
     return ranked.groupBy("feature").agg((top / F.sqrt(F.when(va * vb > 0, va * vb))).alias("rho"), n.alias("n"))
 
 
+def bin_association(x: DataFrame) -> DataFrame:
+    """Do a feature's values (feature, bin, y) differ between bins? feature, n, bins, f: the ratio of the variance between bins to that within.
+
+    Sums and squares of each bin are all that is grouped. Null where there is one bin, one row per bin, or no spread within.
+    """
+    own = x.where("y is not null and bin is not null").withColumn("y", F.col("y").cast("double"))
+    per = own.groupBy("feature", "bin").agg(F.count("*").alias("n"), F.avg("y").alias("m"), F.var_pop("y").alias("v"))
+    mean = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    all_ = per.groupBy("feature").agg(F.sum("n").alias("n"), F.count("*").alias("bins"), mean.alias("_m"), F.sum(F.col("n") * F.col("v")).alias("_in"))
+    far = per.join(all_.select("feature", "_m"), "feature").groupBy("feature").agg(F.sum(F.col("n") * (F.col("m") - F.col("_m")) * (F.col("m") - F.col("_m"))).alias("_between"))
+    inside = F.col("_in") / F.nullif((F.col("n") - F.col("bins")).cast("double"), F.lit(0.0))
+    ratio = F.col("_between") / F.nullif((F.col("bins") - 1).cast("double"), F.lit(0.0)) / F.when(inside > 1e-12 * (F.col("_between") + 1e-300), inside)
+    return all_.join(far, "feature").select("feature", "n", "bins", ratio.alias("f"))
+
+
 def stage_summary(pt: DataFrame, cells: DataFrame) -> DataFrame:
     """Quartiles of time per stage and the stages' order by median."""
     q = lambda p: F.percentile("t", F.lit(p))

@@ -90,6 +90,11 @@ def q13(spark, d):
     return IV.merge_intervals(view(spark, d, "m_peaks"))
 
 
+@_add("q7_frag_length_ratio", duck("select cell, count(*) filter (en - st < 150) n_short, count(*) filter (en - st >= 150) n_long, round(n_short / nullif(n_long, 0), 6) ratio from m_frag group by cell", "m_frag"))
+def q7b(spark, d):
+    return IV.frag_length_ratio(view(spark, d, "m_frag"), 150).withColumn("ratio", r("ratio"))
+
+
 _NORM = "norm as (select sample, cell, feature, ln(1 + x / sum(x) over (partition by cell) * 10000) x from m_counts)"
 
 

@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweft.operators.tables import shared_dir
+from cellweft.operators.running import running_totals
+from cellweft.operators.tables import materialize, shared_dir
 from cellweft.plans.views import duck, r, view
 from cellweft.sources import readers
 
@@ -65,3 +66,38 @@ def s5(spark, d):
     blocks.select("value").write.text(path)
     out = readers.read_alignments(spark, path)
     return out.withColumn("in_block", F.count("*").over(Window.partitionBy("block"))).drop("block")
+
+
+@_add("s1_read_counts", duck("select 's' sample, cell::varchar cell, feature::varchar feature, x from m_counts", "m_counts"))
+def s1(spark, d):
+    counts = materialize(view(spark, d, "m_counts").select("cell", "feature", "x"), "triplets")
+    number = lambda c, n: running_totals(counts.select(c).distinct().withColumns({"_k": F.lit(0), "_one": F.lit(1)}), ["_k"], [c], "_one", n).select(c, (F.col(n) + 1).alias(n))
+    cells, features = [materialize(number(c, n), "numbered") for c, n in (("cell", "j"), ("feature", "i"))]
+    path = f"{shared_dir(spark)}/matrix-{uuid.uuid4().hex}"
+    for name, rows in (("cell", cells), ("feature", features)):
+        rows.orderBy(name).select(F.concat(F.col(name).cast("string"), F.lit("\tname")).alias("value")).write.text(f"{path}/{name}")
+    body = counts.join(cells, "cell").join(features, "feature").select("i", "j", F.concat_ws(" ", F.col("i").cast("string"), F.col("j").cast("string"), F.col("x").cast("string")).alias("value"))
+    sizes = counts.agg(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), F.concat_ws(" ", F.countDistinct("feature").cast("string"), F.countDistinct("cell").cast("string"), F.count("*").cast("string")).alias("value"))
+    body.unionByName(sizes).orderBy("i", "j").select("value").write.text(f"{path}/matrix")
+    return readers.read_counts(spark, f"{path}/matrix", f"{path}/cell", f"{path}/feature", "s")
+
+
+_BASES = "select 'm' || (doc_id % 10) motif, pos, substr(seq, pos + 1, 1) base from m_seq, (select unnest(range(6))::int pos) where length(seq) > 6"
+
+
+@_add("s7_read_pwm", duck(f"with b as ({_BASES}) select m.motif, p.pos, x.base, count(b.base)::double w from (select distinct motif from b) m, (select distinct pos from b) p, (select unnest(['A', 'C', 'G', 'T']) base) x left join b on b.motif = m.motif and b.pos = p.pos and b.base = x.base group by all", "m_seq"))
+def s7(spark, d):
+    rows = view(spark, d, "m_seq").where("length(seq) > 6").select(F.concat(F.lit("m"), (F.col("doc_id") % 10).cast("string")).alias("motif"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("pos"), "seq")
+    base = F.substring("seq", F.col("pos") + 1, F.lit(1))
+    lines = rows.groupBy("motif", "pos").agg(F.concat_ws(" ", *[F.count(F.when(base == b, 1)).cast("string") for b in "ACGT"]).alias("line"))
+    text = lines.groupBy("motif").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("rows"))  # six lines each
+    path = f"{shared_dir(spark)}/pwm-{uuid.uuid4().hex}"
+    text.select(F.concat(F.lit(">"), "motif", F.lit(" made of counts\n"), "rows").alias("value")).write.text(path)
+    return readers.read_pwm(spark, path)
+
+
+@_add("s8_write_table", duck("select pid, chrom, st, en from m_peaks", "m_peaks"))
+def s8(spark, d):
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    readers.write_table(view(spark, d, "m_peaks"), path, ["chrom"], files=4)
+    return spark.read.parquet(path).select("pid", "chrom", "st", "en")

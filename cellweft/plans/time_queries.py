@@ -81,6 +81,17 @@ def t6(spark, d):
     return T.time_association(view(spark, d, "m_trend")).withColumn("rho", r("rho"))
 
 
+_DAYS = "select event_type feature, cast({day} as int) bin, value y from events"
+
+
+@_add("t6_bin_association", "with x as (" + _DAYS.format(day="floor((epoch(ts) - epoch(timestamp '2024-01-01')) / 86400)") + """), p as (select feature, bin, count(*) n, avg(y) m, var_pop(y) v from x where y is not null group by all),
+a as (select feature, sum(n)::bigint n, count(*) bins, sum(n * m) / sum(n) mm, sum(n * v) ss from p group by 1)
+select feature, any_value(a.n) n, any_value(bins) bins, round(sum(p.n * pow(m - mm, 2)) / any_value(bins - 1) / any_value(ss / (a.n - bins)), 6) f from p join a using (feature) group by feature""")
+def t6b(spark, d):
+    rows = spark.sql(_DAYS.format(day="timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div 86400").replace("from events", "from {events}"), events=spark.read.parquet(f"{d}/events.parquet"))
+    return T.bin_association(rows).withColumn("f", r("f"))
+
+
 @_add("t7_stage_summary", duck(f"with {_PHASE}, s as (select sample stage, quantile_cont(phase, 0.5) median, quantile_cont(phase, 0.75) - quantile_cont(phase, 0.25) iqr from ph group by 1) select stage, round(median, 6) median, round(iqr, 6) iqr, dense_rank() over (order by median)::int place from s", "m_emb"))
 def t7(spark, d):
     emb = view(spark, d, "m_emb")
@@ -268,10 +279,27 @@ def x2(spark, d):
     return X.lift_filter(_iv(spark, d), _lifted(spark, d), 0.9)
 
 
-@_add("x3_reciprocal", duck(f"with {_LIFT} select pid id, chrom, st, en from m_peaks where pid in (select id from lifted where frac >= 1)", "m_peaks", "m_blocks"))
+# Blocks of every third chain lead back seven bases off, so that their intervals do not come home.
+_SHIFT = "case when chain % 3 = 0 then 7 else 0 end"
+
+
+@_add(
+    "x3_reciprocal",
+    duck(
+        f"""with {_LIFT}, there as (select id, dst_chrom chrom, dst_st st, dst_en en from lifted where frac >= 1),
+back as (select dst_chrom k_chrom, dst_start + {_SHIFT} k0, dst_end + {_SHIFT} k1, src_chrom t_chrom, src_start t0, dst_strand strand, chain from m_blocks),
+bo as (select id, t_chrom, strand, chain, greatest(st, k0) a, least(en, k1) b, k0, k1, t0 from there join back on chrom = k_chrom and st < k1 and k0 < en),
+bg as (select *, case when strand = '+' then t0 + a - k0 else t0 + k1 - b end lo from bo),
+home as (select id, t_chrom chrom, min(lo) st, max(lo + b - a) en from bg group by id, t_chrom, strand, chain)
+select pid id, p.chrom, p.st, p.en from m_peaks p where exists (from home h where h.id = pid and h.chrom = p.chrom and h.st = p.st and h.en = p.en)""",
+        "m_peaks",
+        "m_blocks",
+    ),
+)
 def x3(spark, d):
     b = view(spark, d, "m_blocks")
-    return X.reciprocal(_iv(spark, d), b, X.invert(b)).select("id", "chrom", "st", "en")
+    back = X.invert(b).withColumns({c: F.col(c) + F.expr(_SHIFT) for c in ("src_start", "src_end")})
+    return X.reciprocal(_iv(spark, d), b, back).select("id", "chrom", "st", "en")
 
 
 _OTHER = "other as (select pid, 'd' || (pid % 5) chrom, st % 600000 st, st % 600000 + en - st en from m_peaks)"
@@ -309,6 +337,11 @@ def x8(spark, d):
     return X.kmer_similarity(view(spark, d, "m_seq").select(F.col("doc_id").alias("id"), "seq"), 12, 0.8).withColumn("jaccard", r("jaccard"))
 
 
+@_add("x8_kmer_sketch")
+def x8b(spark, d):
+    return X.kmer_similarity(view(spark, d, "m_seq").select(F.col("doc_id").alias("id"), "seq"), 12, 0.8, sketch=64).withColumn("jaccard", r("jaccard"))
+
+
 @_add("x9_motif_turnover", duck(f"""with {_LIFT}, mt as (select pid id, pid % 3 motif from m_peaks), {_OTHER.replace("select pid,", "select pid id, pid % 3 motif,")},
 pr as (select l.id, o.id other from lifted l join mt on mt.id = l.id join other o on o.chrom = dst_chrom and o.motif = mt.motif and dst_st - 50 < o.en and o.st < dst_en + 50)
 select pid id, case when pid in (select id from pr) then 'kept' else 'lost' end state from m_peaks union all select id, 'gained' from other where id not in (select other from pr)""", "m_peaks", "m_blocks"))

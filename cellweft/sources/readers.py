@@ -11,27 +11,19 @@ from cellweft.sources.lines import placed_lines, under_headers
 def read_counts(spark: SparkSession, matrix: str, barcodes: str, features: str, sample: str) -> DataFrame:
     """Sparse triplets (row, column, value, 1-based, '%' comments and a size line) with their names: sample, cell, feature, x.
 
-    Names get their number from their place in the file; each names file is read
-    as one split, so it must not be cut (give it unsplittable or small).
+    Files, or folders whose files go by their paths. Lines are read in any splits; names
+    get their number from their place, counted within a split and over the splits before it.
     """
-    lines = spark.read.text(matrix).where("not startswith(value, '%') and trim(value) <> ''").withColumn("_m", F.monotonically_increasing_id())
+    lines = placed_lines(spark, matrix).where("not startswith(value, '%') and trim(value) <> ''").withColumn("_m", F.struct("file", "split", "n"))
     # the first line that is no comment holds the sizes; it is known by its place, as an entry may equal it
     first = lines.agg(F.min("_m").alias("_first"))
     part = F.split(F.trim("value"), r"\s+")
     body = lines.join(F.broadcast(first)).where("_m > _first").select(part[0].cast("long").alias("i"), part[1].cast("long").alias("j"), part[2].cast("double").alias("x"))  # one row
-    name = lambda path, col: _numbered(spark, path).select(F.col("n"), F.split("value", "\t")[0].alias(col))
+    name = lambda path, col: under_headers(placed_lines(spark, path), F.lit(True), F.col("value"), F.lit(0)).select(F.col("number").alias("n"), F.split("value", "\t")[0].alias(col))
     out = body.join(name(features, "feature"), F.col("i") == F.col("n")).drop("n").join(name(barcodes, "cell"), F.col("j") == F.col("n"))
     return out.select(F.lit(sample).alias("sample"), "cell", "feature", "x")
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their number, from 1: places within a split plus the lines of the splits before it."""
-    lines = spark.read.text(path).select("value", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
-    per = lines.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = per.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))  # a row per split
-    return lines.join(before, "_p").select((F.col("_b") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("n"), "value")
-
-
 def read_fragments(spark: SparkSession, path: str, sample: str, partitions: int | None = None) -> DataFrame:
     """Five tab-separated columns: chrom, st, en, cell, n. A gzip file is one split, so rows are dealt out again on request."""
     out = spark.read.csv(path, sep="\t", comment="#", schema="chrom string, st long, en long, cell string, n int")

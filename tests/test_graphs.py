@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweft.operators import cells, network
-from cellweft.operators.running import running_totals
+from cellweft.operators.running import running, running_totals
 
 
 def test_running_totals_of_a_group_over_many_tasks(spark):
@@ -30,6 +30,14 @@ def test_running_totals_of_a_group_over_many_tasks(spark):
     assert running_totals(df.limit(0), ["g"], ["i"], "v", "before").count() == 0
 
 
+def test_running_minimum_from_the_end(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice("aaaab"), i, rng.random()) for i in range(500)]
+    got = running(spark.createDataFrame(rows, "g string, i int, v double").repartition(3), ["g"], ["i"], "v", "low", F.min, after=True, own=True)
+    want = {(g, i): min(v for h, j, v in rows if h == g and j >= i) for g, i, _ in rows}
+    assert {(r.g, r.i): r.low for r in got.collect()} == want
+
+
 def sides(rng, n=60, fx=12, fy=15):
     return (np.where(rng.random((n, fx)) < 0.3, rng.integers(1, 9, (n, fx)), 0), np.where(rng.random((n, fy)) < 0.4, rng.integers(1, 9, (n, fy)), 0))
 
