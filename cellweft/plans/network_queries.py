@@ -46,7 +46,8 @@ def i2(spark, d):
 
 @_add("i3_lsi")
 def i3(spark, d):
-    return R.lsi(C.lognorm(view(spark, d, "m_counts")), 5)[0]
+    x, selected = _selected(spark, d)
+    return R.lsi(x, 5, selected)[0]
 
 
 @_add("i4_knn", duck(f"with {_KNN} select a, b, round(distance, 6) distance, rank::int rank from knn", "m_emb"))
