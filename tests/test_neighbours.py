@@ -52,3 +52,17 @@ def test_unsettled_is_an_error(spark):
     emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
     with pytest.raises(RuntimeError, match="not settled"):
         neighbours.knn_descent(emb, 10, tables=1, block=20, most_rounds=1)
+
+
+def test_a_cell_is_shuffled_a_bounded_number_of_times(spark):
+    """Blocks grow with the table up to their bound; before, there was one per 2,000 rows."""
+    assert [network._parts(spark.range(n), 12, 100_000) for n in (0, 1, 2001, 6_000, 60_000, 1_000_000, 1_300_000)] == [1, 1, 5, 12, 12, 12, 13]
+
+
+def test_exact_neighbours_over_blocks(spark):
+    x = np.random.default_rng(5).integers(0, 4, (900, 3)).astype(float)  # many equal distances
+    emb = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], VEC)
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(far, np.inf)
+    want = {(i, int(j)): r + 1 for i in range(900) for r, j in enumerate(np.lexsort((np.arange(900), far[i]))[:7])}
+    assert {(r.a, r.b): r["rank"] for r in network.knn(emb, 7, parts=3, block=200).collect()} == want
