@@ -117,3 +117,21 @@ def test_mid_ranks_and_association(spark):
     f = {r.feature: r.f for r in timing.bin_association(spark.createDataFrame(x, "feature string, bin int, y double")).collect()}
     between, inside = 2 * (1.5 - 3.6) ** 2 + 3 * (5 - 3.6) ** 2, (0.5 + 2.0) / 3
     assert f["f"] == pytest.approx(between / inside) and f["g"] is None and f["h"] is None
+
+
+def test_copies_are_compared_once(spark, monkeypatch):
+    """Three hundred copies of each of four sequences: four are compared, and all pairs come out; before, each copy met each other one."""
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("ACGT"), 300))
+    kinds = [base, base[:-3] + "AAA", base[:150] + "".join(rng.choice(list("ACGT"), 150)), "ACG"]
+    df = spark.createDataFrame([(i, kinds[i % 4]) for i in range(1200)], "id long, seq string")
+    compared = []
+    real = alignment._jaccard
+    monkeypatch.setattr(alignment, "_jaccard", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    sets = [{s[i : i + 12] for i in range(len(s) - 11)} for s in kinds]
+    like = lambda x, y: len(sets[x] & sets[y]) / max(len(sets[x] | sets[y]), 1)
+    want = {(a, b): like(a % 4, b % 4) for a in range(1200) for b in range(a + 1, 1200) if sets[a % 4] and like(a % 4, b % 4) >= 0.8}
+    for sketch in (None, 64):
+        got = {(r.a, r.b): r.jaccard for r in alignment.kmer_similarity(df, 12, 0.8, sketch).collect()}
+        assert got == want
+    assert max(compared) <= 3
