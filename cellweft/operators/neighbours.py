@@ -37,7 +37,7 @@ def _first_graph(v: DataFrame, width: int, tables: int, block: int) -> DataFrame
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x = np.stack(pdf["vec"].to_numpy())
+                x = np.stack(pdf["vec"].to_numpy()).astype(float)
                 lines = np.random.default_rng(x.shape[1]).normal(size=(x.shape[1], tables))
                 mixed = pdf["cell"].to_numpy(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 for t, place in enumerate([*(x @ lines).T, (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) / 2.0**64]):
@@ -54,14 +54,14 @@ def _first_graph(v: DataFrame, width: int, tables: int, block: int) -> DataFrame
             yield best(rest)
 
     def best(part: pd.DataFrame) -> pd.DataFrame:
-        x, ids = np.stack(part["vec"].to_numpy()), part["cell"].to_numpy()
+        x, ids = np.stack(part["vec"].to_numpy()).astype(float), part["cell"].to_numpy()
         d = _near(x)
         m = min(width, len(ids) - 1)
         j = np.argpartition(d, m - 1, axis=1)[:, :m].ravel()
         i = np.repeat(np.arange(len(ids)), m)
         return pd.DataFrame({"a": ids[i], "b": ids[j], "distance": _exact(x, i, j)})
 
-    placed = v.mapInPandas(project, "cell long, vec array<double>, line int, place double")
+    placed = v.mapInPandas(project, f"cell long, vec {v.schema['vec'].dataType.simpleString()}, line int, place double")
     return placed.repartitionByRange("line", "place", "cell").sortWithinPartitions("line", "place", "cell").mapInPandas(runs, _EDGE).where("a <> b")
 
 
@@ -93,7 +93,9 @@ def knn_descent(emb: DataFrame, k: int, width: int | None = None, tables: int =
     ones find more. Vectors must be of one length; of cells at equal distance any may come.
     """
     width = width or 2 * k
-    v = materialize(emb.select(F.col("cell").cast("long").alias("cell"), F.col("vec").cast("array<double>").alias("vec")), "vectors")
+    # singles are computed with as doubles, but stay singles where they are shuffled
+    kind = "array<float>" if emb.schema["vec"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = materialize(emb.select(F.col("cell").cast("long").alias("cell"), F.col("vec").cast(kind).alias("vec")), "vectors")
     graph = materialize(_best(_first_graph(v, width, tables, block).withColumn("fresh", F.lit(True)), width), "graph")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +104,7 @@ def knn_descent(emb: DataFrame, k: int, width: int | None = None, tables: int =
             for group in pdf["group"]:
                 if len(group) < 2:
                     continue
-                x = np.array([g["vec"] for g in group])
+                x = np.array([g["vec"] for g in group], float)
                 ids, fresh = np.array([g["cell"] for g in group]), np.array([g["fresh"] for g in group])
                 worst = np.array([g["worst"] for g in group])
                 i, j = np.nonzero((_near(x) < worst[:, None] + 1e-9) & (fresh[:, None] | fresh[None, :]))
@@ -116,7 +118,9 @@ def knn_descent(emb: DataFrame, k: int, width: int | None = None, tables: int =
         # a list that is not full takes anything
         worst = graph.groupBy("a").agg(F.max("distance").alias("_w"), F.count("*").alias("_n"))
         known = v.join(worst, v["cell"] == worst["a"], "left").select("cell", "vec", F.when(F.col("_n") >= width, F.col("_w")).otherwise(float("inf")).alias("worst"))
-        groups = meetings(graph, width, turn).join(known, "cell").groupBy("at").agg(F.collect_list(F.struct("cell", "fresh", "worst", "vec")).alias("group"))  # some 2 * width each
+        met = materialize(meetings(graph, width, turn), "meetings")
+        met = met.join(met.where("fresh").select("at").distinct(), "at", "left_semi")  # without a new one nothing is compared
+        groups = met.join(known, "cell").groupBy("at").agg(F.collect_list(F.struct("cell", "fresh", "worst", "vec")).alias("group"))  # some 2 * width each
         found = groups.select("group").mapInPandas(meet, _EDGE)
         both = graph.select("a", "b", "distance", F.lit(False).alias("fresh")).unionByName(found.withColumn("fresh", F.lit(True)))
         graph = materialize(_best(both, width), "graph")

@@ -66,3 +66,14 @@ def test_exact_neighbours_over_blocks(spark):
     np.fill_diagonal(far, np.inf)
     want = {(i, int(j)): r + 1 for i in range(900) for r, j in enumerate(np.lexsort((np.arange(900), far[i]))[:7])}
     assert {(r.a, r.b): r["rank"] for r in network.knn(emb, 7, parts=3, block=200).collect()} == want
+
+
+def test_singles_stay_singles_until_they_meet(spark, monkeypatch):
+    """Vectors of singles are written and shuffled as such, and distances are those of doubles."""
+    kinds = {}
+    real = neighbours.materialize
+    monkeypatch.setattr(neighbours, "materialize", lambda df, what: kinds.update({what: dict(df.dtypes)}) or real(df, what))
+    x = np.random.default_rng(6).random((300, 4)).astype(np.float32)
+    got = neighbours.knn_descent(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "cell long, vec array<float>"), 5).collect()
+    assert kinds["vectors"]["vec"] == "array<float>"
+    assert all(abs(r.distance - np.sqrt(((x[r.a].astype(float) - x[r.b]) ** 2).sum())) < 1e-12 for r in got)
