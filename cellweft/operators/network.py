@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweft.operators.running import running, running_totals
 from cellweft.operators.spectral import block_sum
-from cellweft.operators.tables import materialize
+from cellweft.operators.tables import dealt, materialize
 
 
 def _distance2(a: str, b: str) -> Column:
@@ -200,31 +200,44 @@ def link_products(x: DataFrame, y: DataFrame, pairs: DataFrame) -> DataFrame:
 
     Made at the listed pairs: the stored values of a pair's sparser side are looked up in the other, so
     rows are pairs times cells of the sparser side. Where all pairs that meet in a cell
-    are fewer rows than that, they are made instead. Both costs are known beforehand from counts.
+    are fewer rows than that, they are made instead. Both costs are known beforehand from counts (_nx and _ny of the
+    pairs, if they have them).
     """
+    sized = pairs
+    if not {"_nx", "_ny"} <= set(pairs.columns):
+        nx, ny = [df.groupBy(F.col("feature").alias(f"f{side}")).agg(F.count("*").alias(f"_n{side}")) for df, side in ((x, "x"), (y, "y"))]
+        sized = materialize(pairs.select("fx", "fy").join(nx, "fx").join(ny, "fy"), "pairs")
+    stored = x.count() + y.count()
     xs = x.select(F.col("feature").alias("fx"), "cell", F.col("x").alias("_x"))
     ys = y.select(F.col("feature").alias("fy"), "cell", F.col("x").alias("_y"))
-    nx, ny = xs.groupBy("fx").agg(F.count("*").alias("_nx")), ys.groupBy("fy").agg(F.count("*").alias("_ny"))
-    sized = materialize(pairs.select("fx", "fy").join(nx, "fx").join(ny, "fy"), "pairs")
-    at_pairs = sized.agg(F.sum(F.least("_nx", "_ny"))).first()[0] or 0
-    in_cells = xs.groupBy("cell").agg(F.count("*").alias("_a")).join(ys.groupBy("cell").agg(F.count("*").alias("_b")), "cell").agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
-    if in_cells <= at_pairs:
-        both = xs.join(ys, "cell")
+    by_cell = [dealt(df, stored, "cell") for df in (xs, ys)]
+    n, at_pairs = sized.agg(F.count("*"), F.sum(F.least("_nx", "_ny"))).first()
+    in_cells = by_cell[0].groupBy("cell").agg(F.count("*").alias("_a")).join(by_cell[1].groupBy("cell").agg(F.count("*").alias("_b")), "cell").agg(F.sum(F.col("_a") * F.col("_b"))).first()[0] or 0
+    made = min(in_cells, at_pairs or 0)
+    if in_cells <= (at_pairs or 0):
+        both = by_cell[0].join(by_cell[1], "cell")
     else:
         left = sized.where("_nx <= _ny").select("fx", "fy").join(xs, "fx").join(ys, ["fy", "cell"])
         right = sized.where("_nx > _ny").select("fx", "fy").join(ys, "fy").join(xs, ["fx", "cell"])
         both = left.select("fx", "fy", "_x", "_y").unionByName(right.select("fx", "fy", "_x", "_y"))
-    return both.groupBy("fx", "fy").agg(F.sum(F.col("_x") * F.col("_y")).alias("_sxy"))
+    both = both.select("fx", "fy", (F.col("_x") * F.col("_y")).alias("_xy"))
+    if made <= 2 * n:  # little to add up before the rows are shuffled
+        return dealt(both, made, "fx", "fy").groupBy("fx", "fy").agg(F.sum("_xy").alias("_sxy"))
+    return both.groupBy("fx", "fy").agg(F.sum("_xy").alias("_sxy"))
 
 
 def link_corr(x: DataFrame, y: DataFrame, pairs: DataFrame, n: DataFrame) -> DataFrame:
     """Pearson correlation of features over cells for pairs (fx, fy); missing rows are zeros, n (one row, column n) the number of cells.
 
-    Sums over stored values only; null where either is constant. A feature has one row per cell.
+    Sums over stored values only; null where either is constant. A feature has one row per cell. The tables are read
+    several times. Joins at the pairs are dealt by the number of pairs, so a task's share does not grow with the table.
     """
-    sx = x.groupBy(F.col("feature").alias("fx")).agg(F.sum("x").alias("_sx"), F.sum(F.col("x") * F.col("x")).alias("_sxx"))
-    sy = y.groupBy(F.col("feature").alias("fy")).agg(F.sum("x").alias("_sy"), F.sum(F.col("x") * F.col("x")).alias("_syy"))
-    j = pairs.join(sx, "fx").join(sy, "fy").join(link_products(x, y, pairs), ["fx", "fy"], "left").join(F.broadcast(n))  # n is one row
+    sums = lambda df, side: df.groupBy(F.col("feature").alias(f"f{side}")).agg(F.count("*").alias(f"_n{side}"), F.sum("x").alias(f"_s{side}"), F.sum(F.col("x") * F.col("x")).alias(f"_s{side}{side}"))
+    pairs = materialize(pairs.select("fx", "fy"), "pairs")
+    size = pairs.count()
+    sized = dealt(pairs, size, "fx").join(dealt(sums(x, "x"), size, "fx"), "fx")
+    sized = materialize(dealt(sized, size, "fy").join(dealt(sums(y, "y"), size, "fy"), "fy"), "pairs")
+    j = dealt(sized, size, "fx", "fy").join(dealt(link_products(x, y, sized), size, "fx", "fy"), ["fx", "fy"], "left").join(F.broadcast(n))  # n is one row
     top = F.col("n") * F.coalesce("_sxy", F.lit(0.0)) - F.col("_sx") * F.col("_sy")
     bottom = (F.col("n") * F.col("_sxx") - F.col("_sx") * F.col("_sx")) * (F.col("n") * F.col("_syy") - F.col("_sy") * F.col("_sy"))
     return j.select("fx", "fy", (top / F.sqrt(F.when(bottom > 1e-9, bottom))).alias("corr"))

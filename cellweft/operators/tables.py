@@ -26,11 +26,15 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, rows: int, *keys: str, most: int = 250_000) -> DataFrame:
-    """`df` by `keys` in so many partitions that one holds some `most` of `rows` rows; as it is where that is no more than the cores.
+#: Rows of a task where tables are dealt by their size.
+MOST = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, most: int | None = None) -> DataFrame:
+    """`df` by `keys` in so many partitions that one holds some `most` (MOST) of `rows` rows; as it is where that is no more than the cores.
 
     Spark merges the partitions of its own shuffles until they are as few as the cores, so that a task's
     sorts and hash tables grow with the table. A number that is given here stays, also for the joins and groupings that follow by these keys.
     """
-    n = -(-rows // most)
+    n = -(-rows // (most or MOST))
     return df.repartition(n, *keys) if n > df.sparkSession.sparkContext.defaultParallelism else df

@@ -8,7 +8,7 @@ from cellweft.operators import cells as C
 from cellweft.operators import neighbours as NB
 from cellweft.operators import network as N
 from cellweft.operators import reduce as R
-from cellweft.operators.tables import materialize
+from cellweft.operators.tables import dealt, materialize
 from cellweft.plans.views import duck, r, view
 
 Q: dict = {}
@@ -135,10 +135,17 @@ lc as (select fx, fy, round((n * sxy - sx * sy) / sqrt(nullif((n * sxx - sx * sx
 
 
 def _sides(spark, d):
-    c = view(spark, d, "m_counts")
-    x, y = c.where("feature % 2 = 0").select("feature", "cell", "x"), c.where("feature % 2 = 1").select("feature", "cell", "x")
-    pairs = x.select(F.col("feature").alias("fx"), "cell").join(y.select(F.col("feature").alias("fy"), "cell"), "cell").select("fx", "fy").distinct()
-    return x, y, pairs, c.agg(F.countDistinct("cell").alias("n"))
+    c = materialize(view(spark, d, "m_counts").select("feature", "cell", "x"), "counts")
+    return _split(c, "feature % 2 = 0", "feature % 2 = 1")
+
+
+def _split(c, one, two):
+    """Values of features on either side, their pairs that meet in a cell, and the number of cells."""
+    size = c.count()
+    x, y = c.where(one), c.where(two)
+    fx, fy = x.select(F.col("feature").alias("fx"), "cell"), y.select(F.col("feature").alias("fy"), "cell")
+    pairs = dealt(fx, size, "cell").join(dealt(fy, size, "cell"), "cell").select("fx", "fy").distinct()
+    return x, y, pairs, dealt(c.select("cell"), size, "cell").agg(F.countDistinct("cell").alias("n"))
 
 
 def _links(spark, d):
@@ -185,10 +192,9 @@ _SUPP = "s_counts as (select l_suppkey feature, l_orderkey cell, sum(l_quantity)
 xs as (select feature fx, sum(x) sx, sum(x * x) sxx from x group by 1), ys as (select feature fy, sum(x) sy, sum(x * x) syy from y group by 1), xy as (select x.feature fx, y.feature fy, sum(x.x * y.x) sxy from x join y using (cell) group by 1, 2)
 select fx tf, fy gene, round((n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), 6) corr from xy join xs using (fx) join ys using (fy), n""", "m_cells"))
 def g6(spark, d):
-    c = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("feature"), F.col("l_orderkey").alias("cell")).agg(F.sum("l_quantity").alias("x"))
-    x, y = c.where("feature % 10 = 0"), c.where("feature % 10 <> 0")
-    pairs = x.select(F.col("feature").alias("fx"), "cell").join(y.select(F.col("feature").alias("fy"), "cell"), "cell").select("fx", "fy").distinct()
-    return N.link_corr(x, y, pairs, c.agg(F.countDistinct("cell").alias("n"))).select(F.col("fx").alias("tf"), F.col("fy").alias("gene"), r("corr").alias("corr"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    c = dealt(lines, lines.count(), "l_orderkey").groupBy(F.col("l_suppkey").alias("feature"), F.col("l_orderkey").alias("cell")).agg(F.sum("l_quantity").alias("x"))
+    return N.link_corr(*_split(materialize(c, "counts"), "feature % 10 = 0", "feature % 10 <> 0")).select(F.col("fx").alias("tf"), F.col("fy").alias("gene"), r("corr").alias("corr"))
 
 
 _GRN = f"""{_SIDES}, hits as (select distinct p_size tf, p_partkey pid from part where p_partkey % 2 = 0), links as (select fx pid, fy gene, corr from lc),

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import functools
-
 import pytest
 
 from cellweft.operators import tables
-from cellweft.plans import views
 from cellweft.plans.registry import QUERIES, SQL
 from tests.oracle import assert_same
 
@@ -23,8 +20,20 @@ def test_partitions_grow_with_the_rows_and_are_not_merged(spark):
 @pytest.mark.parametrize("name", ["i11_score_sets", "g9_regulon_activity"])
 def test_counts_stay_dealt_by_cell(spark, duck, sf_dir, monkeypatch, name):
     """What is grouped by cell after the counts is as many tasks as the counts are; four shuffle partitions before."""
-    monkeypatch.setattr(views, "dealt", functools.partial(tables.dealt, most=200), raising=False)
+    monkeypatch.setattr(tables, "MOST", 200, raising=False)
     out = QUERIES[name](spark, sf_dir)
     most = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
     assert out.rdd.getNumPartitions() == -(-most // 200)
     assert_same(out, duck.sql(SQL[name]))
+
+
+@pytest.mark.parametrize("name", ["g3_link_corr", "g6_tf_target_corr"])
+def test_links_are_dealt_by_pairs(spark, duck, sf_dir, monkeypatch, name):
+    """The joins at the pairs are as many tasks as the pairs need; four shuffle partitions before."""
+    monkeypatch.setattr(tables, "MOST", 200, raising=False)
+    out = QUERIES[name](spark, sf_dir)
+    size = out.count()
+    if size > 200 * spark.sparkContext.defaultParallelism:
+        assert out.rdd.getNumPartitions() == -(-size // 200)
+    assert size > 4000 or name != "g3_link_corr"
+    assert_same(out, duck.sql(SQL[name]))
