@@ -181,7 +181,7 @@ def g4(spark, d):
 
 @_add("g5_bh_adjust", duck(f"with {_SIDES}, p as (select fx grp, fy id, 1 - abs(corr) p from lc where corr is not null), k as (select *, p * count(*) over (partition by grp) / row_number() over (partition by grp order by p, id) raw from p) select grp, id, round(p, 6) p, round(least(min(raw) over (partition by grp order by p desc, id desc rows unbounded preceding), 1), 6) q from k", "m_counts"))
 def g5(spark, d):
-    p = _links(spark, d).where("corr is not null").select(F.col("fx").alias("grp"), F.col("fy").alias("id"), (1 - F.abs("corr")).alias("p"))
+    p = materialize(_links(spark, d), "links").where("corr is not null").select(F.col("fx").alias("grp"), F.col("fy").alias("id"), (1 - F.abs("corr")).alias("p"))
     return N.bh_adjust(p, "grp").withColumns({"p": r("p"), "q": r("q")})
 
 

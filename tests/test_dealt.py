@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from cellweft.operators import tables
+from cellweft.operators import running, tables
 from cellweft.plans.registry import QUERIES, SQL
 from tests.oracle import assert_same
 
@@ -37,3 +38,19 @@ def test_links_are_dealt_by_pairs(spark, duck, sf_dir, monkeypatch, name):
         assert out.rdd.getNumPartitions() == -(-size // 200)
     assert size > 4000 or name != "g3_link_corr"
     assert_same(out, duck.sql(SQL[name]))
+
+
+def test_running_values_are_dealt_by_rows(spark, monkeypatch):
+    """With their number known, rows are dealt before and after they are written."""
+    monkeypatch.setattr(tables, "MOST", 100, raising=False)
+    df = spark.range(4000).selectExpr("id % 3 g", "id i", "id % 7 v")
+    out = running.running(df, ["g"], ["i"], "v", "low", F.max, own=True, size=4000)
+    assert out.rdd.getNumPartitions() == 40
+    got = {(r.g, r.i): r.low for r in running.running_totals(df, ["g"], ["i"], "v", "low", 4000).collect()}
+    assert got == {(i % 3, i): sum(j % 7 for j in range(i % 3, i, 3)) for i in range(4000)}
+
+
+@pytest.mark.parametrize("name", ["g4_null_corr", "g5_bh_adjust", "g7_grn_edges"])
+def test_what_follows_links_is_the_same(spark, duck, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(tables, "MOST", 200, raising=False)
+    assert_same(QUERIES[name](spark, sf_dir), duck.sql(SQL[name]))
