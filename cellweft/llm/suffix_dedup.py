@@ -10,9 +10,11 @@ once: a passage in a third of all texts is one entry per chunk.
 
 A sampled suffix stands for the run of windows that sampled it. A run that also stands
 in an earlier document is decided at once. What is left are the first documents of the
-runs; where a leading string has several runs, their windows are sorted in a second
-round, as suffixes of `length` bytes. Bytes are compared through digests: 64 bits of the
-leading string with 48 bits of the run; 64 bits of a window with 32 bits of its leading string.
+runs; where a leading string has several runs, windows may be equal though their runs are not. Such windows agree
+for half of their other bytes on the left or on the right of the leading string, so a
+run also carries 15 bits of either half, and only windows on a side that another run
+shares are sorted in a second round, as suffixes of `length` bytes. Bytes are compared through digests: 64 bits of the
+leading string with 32 bits of the run and those of its halves; 64 bits of a window with 32 bits of its leading string.
 
 Rows shuffled: one per chunk and range that have an entry in common, so at most as many as there
 are entries (one per 18 bytes of text).
@@ -35,6 +37,8 @@ from cellweft.llm.common import materialize, table
 
 NO_ID = 2**63 - 1  # stands for a null doc_id inside: later than all others
 _PLACE_BITS = 24
+#: What is known of a run: 0 nothing more, 1 it stands in an earlier document, else the sides on which another run has the same half.
+_LEFT, _RIGHT = 2, 4
 #: Windows sampled at a time, to bound memory; a run that goes on is two runs then, which the second round bears.
 _STEP = 1 << 19
 
@@ -81,12 +85,23 @@ class _Runs:
         self.lo, self.hi, place = (np.concatenate([x[i] for x in first]) if first else np.zeros(0, np.int64) for i in range(3))
         self.doc = np.searchsorted(self.offsets, self.lo, side="right") - 1
         self.key = tv.mix64(self.hash(place, place + lead) ^ np.uint64(0x27D4EB2F165667C5))
+        # windows up to here have half of their other bytes to the left of the leading string, later ones to the right
+        half = (length - lead) // 2
+        self.mid = place - half
+        self.left = self._half(self.mid, place + lead, self.lo <= self.mid)
+        self.right = self._half(place, self.mid + 1 + length, self.hi > self.mid)
         self.run = tv.mix64(self.hash(self.lo, self.hi + length) + (place - self.lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         _, down = tv.powers(len(self.buf) + 1)
         return tv.mix64((self.prefix[end] - self.prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
+    def _half(self, start: np.ndarray, end: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """15 bits of the bytes on one side, and one that is set; 0 for a run without windows there."""
+        out = np.zeros(len(start), np.uint16)
+        out[there] = self.hash(start[there], end[there]) >> np.uint64(48) | np.uint64(1)
+        return out
+
     def _sampled(self, a: int, b: int, lead: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """First and last window and place of each run of the windows that start in [a, b)."""
         n = b - a + self.length - lead  # places that these windows look at
@@ -110,13 +125,15 @@ class _Runs:
         return start[s], start[e], place[s]
 
     def firsts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct runs in order of their leading string: key, run, first document, and the index per row."""
-        return _firsts(self.key, self.run & np.uint64((1 << 48) - 1), self.ids[self.doc])
-
-    def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Start, hash, check and document of each window of the runs `of`."""
-        n = self.hi[of] - self.lo[of] + 1
-        start = np.repeat(self.lo[of] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        """Distinct runs in order of their leading string: key, run with its halves, first document, and the index per row."""
+        run = (self.run & np.uint64(0xFFFFFFFF)) | (self.left.astype(np.uint64) << np.uint64(32)) | (self.right.astype(np.uint64) << np.uint64(48))
+        return _firsts(self.key, run, self.ids[self.doc])
+
+    def windows(self, of: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, hash, check and document of each window of the runs `of`, on the sides that `state` names."""
+        lo = np.where(state & _LEFT, self.lo[of], np.maximum(self.lo[of], self.mid[of] + 1))
+        n = np.where(state & _RIGHT, self.hi[of], np.minimum(self.hi[of], self.mid[of])) - lo + 1
+        start = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
         h = self.hash(start, start + self.length)
         check = np.repeat(self.key[of] & np.uint64(0xFFFFFFFF), n)
         return start, tv.mix64(h ^ np.uint64(0x165667B19E3779F9)), check, np.repeat(self.ids[self.doc[of]], n)
@@ -134,10 +151,14 @@ def _firsts(key: np.ndarray, check: np.ndarray, ids: np.ndarray) -> tuple[np.nda
     return k[start], c[start], np.minimum.reduceat(ids[order], start), group
 
 
-def _not_alone(key: np.ndarray) -> np.ndarray:
-    """Of sorted keys, whether the same stands beside."""
-    same = key[1:] == key[:-1]
-    return np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
+def _shared(key: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """Whether another row has the same (key, half); rows with half 0 share nothing."""
+    order = np.lexsort((half, key))
+    k, h = key[order], half[order]
+    same = (k[1:] == k[:-1]) & (h[1:] == h[:-1]) & (h[1:] != 0)
+    out = np.zeros(len(key), bool)
+    out[order[1:][same]] = out[order[:-1][same]] = True
+    return out
 
 
 def _range_of(key: np.ndarray, ranges: int) -> np.ndarray:
@@ -183,18 +204,19 @@ def _emit_runs(length: int, lead: int, ranges: int):
         for batch in batches:
             for chunk, docs, data in _rows(batch, "chunk", "docs", "data"):
                 key, run_, low, _ = _Runs(docs, data, length, lead).firsts()
-                yield _dealt(chunk, ranges, key, low, (run_ & np.uint64(0xFFFFFFFF)).astype(np.uint32), (run_ >> np.uint64(32)).astype(np.uint16))
+                yield _dealt(chunk, ranges, key, low, *[(run_ >> np.uint64(by)).astype(kind) for by, kind in ((0, np.uint32), (32, np.uint16), (48, np.uint16))])
 
     return run
 
 
 def _answer_runs(key: tuple, group: pa.Table) -> pa.Table:
-    """Per chunk and run: 0 nothing earlier outside the chunk, 1 the run stands in an earlier document, 2 look at the windows of its first document."""
-    parts = [_unpack(x, "u1", "u1", "u4", "u2") for x in group.column("payload").to_pylist()]
+    """Per chunk and run: 0 nothing earlier outside the chunk, 1 the run stands in an earlier document, else look at the windows of its first document on these sides."""
+    parts = [_unpack(x, "u1", "u1", "u4", "u2", "u2") for x in group.column("payload").to_pylist()]
     keys, own = [_keys(p[0]) for p in parts], np.concatenate([_from_planes(p[1], "i8") for p in parts])
-    run = np.concatenate([p[2].astype(np.uint64) | (p[3].astype(np.uint64) << np.uint64(32)) for p in parts])
-    k, _, low, at = _firsts(np.concatenate(keys), run, own)
-    state = np.where(low[at] < own, 1, np.where(_not_alone(k)[at], 2, 0)).astype(np.uint8)
+    run = np.concatenate([p[2].astype(np.uint64) | (p[3].astype(np.uint64) << np.uint64(32)) | (p[4].astype(np.uint64) << np.uint64(48)) for p in parts])
+    k, run, low, at = _firsts(np.concatenate(keys), run, own)
+    sides = sum(bit * _shared(k, (run >> np.uint64(by)).astype(np.uint16)) for bit, by in ((_LEFT, 32), (_RIGHT, 48)))
+    state = np.where(low[at] < own, 1, sides[at]).astype(np.uint8)
     return _answers(key, group, [len(k) for k in keys], state, low[at])
 
 
@@ -229,7 +251,8 @@ def _open_windows(r: _Runs, rows: list[dict] | None):
     """The earliest document known of each run, and the windows of those that are not decided."""
     _, _, own, group = r.firsts()
     state, low = _read_answers(rows, own)
-    return low[group], r.windows(np.flatnonzero((state[group] == 2) & (r.ids[r.doc] == own[group])))
+    of = np.flatnonzero((state[group] > 1) & (r.ids[r.doc] == own[group]))
+    return low[group], r.windows(of, state[group[of]])
 
 
 def _emit_windows(length: int, lead: int, ranges: int):
@@ -293,8 +316,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, lead: int = 16, chunk_byte
     runs = chunks.mapInArrow(_emit_runs(length, lead, ranges), packed).groupBy("range").applyInArrow(_answer_runs, answer)
     runs = materialize(runs, "suffix-runs")
     with_runs = chunks.join(by_chunk(runs, "runs"), "chunk", "left")
+    # not written, so that the chunks, which are shuffled to their runs, are so once for both uses
     windows = with_runs.mapInArrow(_emit_windows(length, lead, ranges), packed).groupBy("range").applyInArrow(_answer_windows, answer)
-    windows = materialize(windows, "suffix-windows")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     out = with_runs.join(by_chunk(windows, "windows"), "chunk", "left").mapInArrow(_emit_result(length, lead, keep_text), schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -596,6 +597,23 @@ def test_suffix_dedup_rows_grow_with_the_bytes(spark, docs):
         assert rows <= size / 12
 
 
+def test_suffix_dedup_opens_few_windows():
+    """A common phrase that is longer than a leading string, but not with half of what a window has besides, sends no windows."""
+    rng, phrase = np.random.default_rng(4), "a phrase that many a text has"
+    texts = ["".join(rng.choice(list("bcdfgh"), 60)) + phrase + "".join(rng.choice(list("bcdfgh"), 60)) for _ in range(300)]
+
+    def sent(texts):
+        docs = [pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]
+        chunks = list(suffix_dedup._chunks(10**6)(docs))
+        runs = pa.Table.from_batches(suffix_dedup._emit_runs(50, 16, 1)(chunks))
+        known = suffix_dedup._answer_runs((pa.scalar(0),), runs).select(["range", "payload"]).to_pylist()
+        both = [pa.RecordBatch.from_arrays([*c.columns, pa.array([known])], [*c.schema.names, "runs"]) for c in chunks]
+        return sum(len(suffix_dedup._keys(suffix_dedup._unpack(x, "u1", "u1", "u4")[0])) for b in suffix_dedup._emit_windows(50, 16, 1)(both) for x in b["payload"].to_pylist())
+
+    assert sent(texts) < 300  # every text has dozens of windows with a leading string of the phrase
+    assert sent(texts + ["z" * 40 + texts[7][70:130] + "y" * 40]) > 10  # a shared passage with other surroundings is looked at
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.text(alphabet="ab", min_size=0, max_size=160), min_size=1, max_size=8))
 def test_suffix_dedup_few_letters(spark, texts):
