@@ -135,3 +135,21 @@ def test_copies_are_compared_once(spark, monkeypatch):
         got = {(r.a, r.b): r.jaccard for r in alignment.kmer_similarity(df, 12, 0.8, sketch).collect()}
         assert got == want
     assert max(compared) <= 3
+
+
+def test_few_shared_kmers_are_no_candidates(spark, monkeypatch):
+    """Pairs that share a word as rare as what they share with those that are like them are not compared whole."""
+    rng, compared = np.random.default_rng(12), []
+    some = lambda n: "".join(rng.choice(list("ACGT"), n))
+    bases, words = [some(300) for _ in range(60)], [some(16) for _ in range(30)]
+    seqs = [s[:100] + w + s[116:] for i, s in enumerate(bases) for w in (words[i // 2], some(16))]
+    sets = [{s[i : i + 12] for i in range(len(s) - 11)} for s in seqs]
+    assert all(5 <= len(sets[4 * i] & sets[4 * i + 2]) < 10 for i in range(30))
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(120) for b in range(a + 1, 120) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    real, write, written = alignment._jaccard, alignment.materialize, []
+    monkeypatch.setattr(alignment, "_jaccard", lambda pairs, *rest: compared.append(pairs.count()) or real(pairs, *rest))
+    monkeypatch.setattr(alignment, "materialize", lambda df, what: (out := write(df, what), written.append(out.count()))[0])
+    got = {(r.a, r.b): r.jaccard for r in alignment.kmer_similarity(spark.createDataFrame(list(enumerate(seqs)), "id long, seq string"), 12, 0.8).collect()}
+    assert got == pytest.approx(want) and len(want) == 60
+    assert compared == [60]
+    assert sum(written) <= 120 + 60 + 60  # sequences and pairs are written, k-mers are not
