@@ -131,16 +131,25 @@ def mnn_correct(emb: DataFrame, pairs: DataFrame, reference: int, width: float,
         if not len(some) or not len(near):
             return pd.DataFrame({"cell": some["cell"][:0], "top": [], "low": []})
         x, y, z = (np.stack(c.to_numpy()) for c in (some["v"], near["at"], near["diff"]))
-        top, low, few = [], [], max(1, 4_000_000 // len(y))
+        middle = y.mean(axis=0)  # distances from products lose digits far from the origin
+        x, y = x - middle, y - middle
+        xx, yy, turned = (x * x).sum(axis=1), (y * y).sum(axis=1), np.ascontiguousarray(-2 * y.T)
+        top, low, few = [], [], max(1, 1_000_000 // len(y))
         for at in range(0, len(x), few):  # so many weights at a time
-            far = np.array([((y - row) ** 2).sum(axis=1) for row in x[at : at + few]])
-            w = np.exp(-far / (2 * width * width))
+            w = x[at : at + few] @ turned
+            w += yy
+            w += xx[at : at + few, None]
+            np.maximum(w, 0, out=w)
+            w /= -2 * width * width
+            np.exp(w, out=w)
             top.extend(w @ z)
             low.append(w.sum(axis=1))
         return pd.DataFrame({"cell": some["cell"], "top": top, "low": np.concatenate(low)})
 
     keys = ["sample", "_i", "_j"]
     kind = emb.schema["cell"].dataType.simpleString()
+    n = max(1, int(sizes.agg(F.sum(F.col("_np") * F.col("_nc"))).first()[0] or 0))
+    cells, moves = cells.repartition(n, *keys), moves.repartition(n, *keys)  # else Spark merges the pairs of blocks to as few tasks as the cores
     met = cells.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(sums, f"cell {kind}, top array<double>, low double")
     first = v.select(F.size("v")).first()
     whole = met.groupBy("cell").agg(block_sum("top", first[0] if first else 0).alias("_top"), F.sum("low").alias("_low")).where("_low > 0")

@@ -153,3 +153,17 @@ def test_few_shared_kmers_are_no_candidates(spark, monkeypatch):
     assert got == pytest.approx(want) and len(want) == 60
     assert compared == [60]
     assert sum(written) <= 120 + 60 + 60  # sequences and pairs are written, k-mers are not
+
+
+def test_shifts_far_from_the_origin_and_a_task_for_each_pair_of_blocks(spark):
+    rng = np.random.default_rng(13)
+    x = rng.random((60, 3)) + 1e6
+    emb = spark.createDataFrame([(i, i % 3, v.tolist()) for i, v in enumerate(x)], "cell long, sample int, vec array<double>")
+    pairs = [(3 * a, 3 * b + 1) for a in range(12) for b in range(12) if (a * b) % 5 == 1]
+    out = network.mnn_correct(emb, spark.createDataFrame(pairs, "a long, b long"), 0, 0.4, 7)
+    got = {r.cell: r.vec for r in out.collect()}
+    at, diff = np.array([x[b] for _, b in pairs]), np.array([x[a] - x[b] for a, b in pairs])
+    for i in range(60):
+        w = np.exp(-((at - x[i]) ** 2).sum(axis=1) / (2 * 0.4**2))
+        assert got[i] == pytest.approx(x[i] + (w @ diff / w.sum() if i % 3 == 1 else 0), rel=1e-12)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
